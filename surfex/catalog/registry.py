@@ -24,8 +24,12 @@ def bind(name: str, sql: str) -> None:
     BINDINGS[name] = sql
 
 
+def _reads(sql: str, name: str) -> bool:
+    return re.search(rf"(?i)\b(FROM|JOIN)\s+{name}\b", sql) is not None
+
+
 def _needs(sql: str) -> list[str]:
-    return [n for n in BINDINGS if re.search(rf"\b{n}\b", sql)]
+    return [n for n in BINDINGS if _reads(sql, n)]
 
 
 class Tables:
@@ -40,9 +44,9 @@ class Tables:
                 self.cache[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             elif name in BINDINGS:
                 sql = BINDINGS[name]
-                inputs = [n for n in (*TABLES, *_needs(sql)) if re.search(rf"\b{n}\b", sql)]
+                inputs = [n for n in (*TABLES, *BINDINGS) if _reads(sql, n)]
                 for n in inputs:
-                    sql = re.sub(rf"\b{n}\b", "{" + n + "}", sql)
+                    sql = re.sub(rf"(?i)\b(FROM|JOIN)\s+{n}\b", r"\1 {" + n + "}", sql)
                 self.cache[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in inputs})
             else:
                 raise AttributeError(name)
