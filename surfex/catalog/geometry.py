@@ -181,11 +181,12 @@ def _(t):
 
 @query("j14_signed_distance", f"""WITH {MASK}, f AS (SELECT scene_id, view_id, x, y FROM cameras, (SELECT unnest(generate_series(0, 39)) AS x) a, (SELECT unnest(generate_series(0, 29)) AS y) b),
 k AS (SELECT f.*, m.x IS NOT NULL AS inside FROM f LEFT JOIN m ON ((f.scene_id*5+f.view_id)*30+f.y)*40+f.x = ((m.scene_id*5+m.view_id)*30+m.y)*40+m.x),
-o AS (SELECT unnest(generate_series(-8, 8)) AS dx), s AS (SELECT o.dx, p.dx AS dy, sqrt(o.dx*o.dx+p.dx*p.dx) AS d FROM o, o AS p WHERE o.dx*o.dx+p.dx*p.dx <= 64),
-n AS (SELECT q.scene_id, q.view_id, q.x, q.y, q.inside, min(d) AS d FROM k q JOIN s ON true JOIN k r ON ((q.scene_id*5+q.view_id)*100+q.y+dy)*100+q.x+dx = ((r.scene_id*5+r.view_id)*100+r.y)*100+r.x AND q.inside <> r.inside GROUP BY ALL)
-SELECT k.scene_id, k.view_id, k.x::INT AS x, k.y::INT AS y, {r6('CASE WHEN k.inside THEN -coalesce(d, 8) ELSE coalesce(d, 8) END', 'signed')} FROM k LEFT JOIN n ON ((k.scene_id*5+k.view_id)*30+k.y)*40+k.x = ((n.scene_id*5+n.view_id)*30+n.y)*40+n.x""")
+o AS (SELECT unnest(generate_series(-4, 4)) AS dx), s AS MATERIALIZED (SELECT o.dx, p.dx AS dy, sqrt(o.dx*o.dx+p.dx*p.dx) AS d FROM o, o AS p WHERE o.dx*o.dx+p.dx*p.dx <= 16),
+e AS MATERIALIZED (SELECT k.*, d, ((scene_id*5+view_id)*100+y+dy)*100+x+dx AS key FROM k, s),
+n AS (SELECT q.scene_id, q.view_id, q.x, q.y, min(d) AS d FROM e q JOIN k r ON q.key = ((r.scene_id*5+r.view_id)*100+r.y)*100+r.x AND q.inside <> r.inside GROUP BY ALL)
+SELECT k.scene_id, k.view_id, k.x::INT AS x, k.y::INT AS y, {r6('CASE WHEN k.inside THEN -coalesce(d, 4) ELSE coalesce(d, 4) END', 'signed')} FROM k LEFT JOIN n ON ((k.scene_id*5+k.view_id)*30+k.y)*40+k.x = ((n.scene_id*5+n.view_id)*30+n.y)*40+n.x""")
 def _(t):
-    return G.signed_mask_distance(t.pixels.where("mask"), t.cameras, 8).select("scene_id", "view_id", "x", "y", rounded(F.col("signed"), "signed"))
+    return G.signed_mask_distance(t.pixels.where("mask"), t.cameras, 4).select("scene_id", "view_id", "x", "y", rounded(F.col("signed"), "signed"))
 
 
 @query("g26_masked_blur", f"""WITH p AS (SELECT *, r*0.2126+g*0.7152+b*0.0722 AS l FROM pixels WHERE mask), o AS (SELECT unnest(generate_series(-6, 6)) AS d), w AS (SELECT d, exp(-(d*d)/8.0::DOUBLE) AS w FROM o),

@@ -18,6 +18,11 @@ def vector(*items) -> Column:
     return F.array(*[_d(i) for i in items])
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` evaluated once; keeps composed matrix expressions linear in size."""
+    return F.transform(F.array(value), body)[0]
+
+
 def orientation_matrix(w: Column, h: Column, o: Column) -> Column:
     """Encoded pixel -> displayed pixel for orientation 1..8; null for any other value or empty size."""
     x, y = w - 1, h - 1
@@ -64,13 +69,17 @@ def affine_inverse(m: Column) -> Column:
         -m[3] / det, m[0] / det, (m[2] * m[3] - m[0] * m[5]) / det, 0, 0, 1))
 
 
-def inverse3(m: Column) -> Column:
-    """General 3x3 inverse by cofactors; null when singular."""
+def _inverse_items(m: Column) -> list[Column]:
     c = [m[4] * m[8] - m[5] * m[7], m[2] * m[7] - m[1] * m[8], m[1] * m[5] - m[2] * m[4],
          m[5] * m[6] - m[3] * m[8], m[0] * m[8] - m[2] * m[6], m[2] * m[3] - m[0] * m[5],
          m[3] * m[7] - m[4] * m[6], m[1] * m[6] - m[0] * m[7], m[0] * m[4] - m[1] * m[3]]
     det = F.nullif(m[0] * c[0] + m[1] * c[3] + m[2] * c[6], F.lit(0.0))
-    return F.when(det.isNotNull(), F.array(*[x / det for x in c]))
+    return [x / det for x in c]
+
+
+def inverse3(m: Column) -> Column:
+    """General 3x3 inverse by cofactors; elements are null when it is singular."""
+    return F.array(*_inverse_items(m))
 
 
 def transpose3(m: Column) -> Column:
@@ -86,11 +95,12 @@ def full_intrinsics(model_k: Column, work_to_model: Column, work_w: Column, work
                     full_h: Column) -> Column:
     """Intrinsics on the upright full-size photo: (work->model . full->work)^-1 . K."""
     full_to_work = resize_map(work_w / full_w, work_h / full_h)
-    return matmul3(affine_inverse(matmul3(work_to_model, full_to_work)), model_k)
+    chain = let(work_to_model, lambda a: let(full_to_work, lambda b: matmul3(a, b)))
+    return let(let(chain, affine_inverse), lambda i: matmul3(i, model_k))
 
 
 def resize_intrinsics(k: Column, s: Column) -> Column:
-    return matmul3(resize_map(s, s), k)
+    return let(resize_map(s, s), lambda r: matmul3(r, k))
 
 
 def to_camera(x: Column, y: Column, z: Column, ext: Column) -> tuple[Column, Column, Column]:
@@ -108,7 +118,7 @@ def project(x: Column, y: Column, z: Column, ext: Column, k: Column) -> Column:
 
 def backproject(u: Column, v: Column, depth: Column, ext: Column, k: Column) -> Column:
     """struct(x, y, z): the world point of a pixel at the given depth."""
-    i = inverse3(k)
+    i = _inverse_items(k)
     cx = (i[0] * u + i[1] * v + i[2]) * depth - ext[3]
     cy = (i[3] * u + i[4] * v + i[5]) * depth - ext[7]
     cz = (i[6] * u + i[7] * v + i[8]) * depth - ext[11]
@@ -123,13 +133,18 @@ def camera_centre(ext: Column) -> Column:
 
 def fundamental(ext_a: Column, k_a: Column, ext_b: Column, k_b: Column) -> Column:
     """Fundamental matrix of the ordered camera pair a -> b: K_b^-T [t]x R K_a^-1."""
-    ra = F.array(*[ext_a[i] for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)])
-    rb = F.array(*[ext_b[i] for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)])
-    r = matmul3(rb, transpose3(ra))
-    t = [ext_b[4 * i + 3] - (r[3 * i] * ext_a[3] + r[3 * i + 1] * ext_a[7] + r[3 * i + 2] * ext_a[11])
-         for i in range(3)]
-    skew = vector(0, -t[2], t[1], t[2], 0, -t[0], -t[1], t[0], 0)
-    return matmul3(matmul3(transpose3(inverse3(k_b)), skew), matmul3(r, inverse3(k_a)))
+    turn = (0, 1, 2, 4, 5, 6, 8, 9, 10)
+    ra, rb = F.array(*[ext_a[i] for i in turn]), F.array(*[ext_b[i] for i in turn])
+
+    def with_rotation(r: Column) -> Column:
+        t = F.array(*[ext_b[4 * i + 3] - (r[3 * i] * ext_a[3] + r[3 * i + 1] * ext_a[7] + r[3 * i + 2] * ext_a[11])
+                      for i in range(3)])
+        skew = let(t, lambda v: vector(0, -v[2], v[1], v[2], 0, -v[0], -v[1], v[0], 0))
+        left = let(let(inverse3(k_b), transpose3), lambda i: let(skew, lambda s: matmul3(i, s)))
+        right = let(inverse3(k_a), lambda i: matmul3(r, i))
+        return let(left, lambda p: let(right, lambda q: matmul3(p, q)))
+
+    return let(let(rb, lambda b: let(let(ra, transpose3), lambda a: matmul3(b, a))), with_rotation)
 
 
 def sampson(xa: Column, ya: Column, xb: Column, yb: Column, f: Column) -> Column:
