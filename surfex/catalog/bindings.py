@@ -83,7 +83,7 @@ FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2, 3, 4""")
 # Lattice mesh of every scene.
 bind("vertices", """
 SELECT scene_id, CAST(i * 11 + j AS BIGINT) AS vid, (i - 255e-1) / 25e0 AS x, (j - 5e0) / 8e0 AS y,
-  (cents / (n * 1e7) - 5e-1) / 5e0 AS z
+  (cents / (n * 1e7) - 5e-1) / 713e-2 AS z
 FROM (SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_quantity AS INT) AS i,
   CAST(round(l_discount * 100) AS INT) AS j, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, count(*) AS n
   FROM lineitem GROUP BY 1, 2, 3) g""")
@@ -108,7 +108,7 @@ JOIN vertices c ON f.scene_id * 1000 + f.v2 = c.scene_id * 1000 + c.vid""")
 
 # Broken surface with many parts: faces whose corners lie high on average.
 bind("faces_kept", """
-SELECT scene_id, fid, v0, v1, v2, completion FROM corners WHERE z0 + z1 + z2 > 2e-2""")
+SELECT scene_id, fid, v0, v1, v2, completion FROM corners WHERE z0 + z1 + z2 > 15e-3""")
 
 bind("half_edges", """
 SELECT scene_id, fid, least(v0, v1) AS va, greatest(v0, v1) AS vb FROM faces UNION ALL
@@ -140,7 +140,7 @@ SELECT scene_id, fid, v0, v1, v2, completion,
 bind("points", """
 SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_suppkey % 5 AS INT) AS view_id,
   l_orderkey * 100000 + l_partkey AS point_id, max((l_quantity - 255e-1) / 25e0) AS x,
-  max((round(l_discount * 100) - 5e0) / 8e0) AS y, max((round(l_extendedprice * 100) / 1e7 - 5e-1) / 5e0) AS z,
+  max((round(l_discount * 100) - 5e0) / 8e0) AS y, max((round(l_extendedprice * 100) / 1e7 - 5e-1) / 713e-2) AS z,
   max(CAST(l_quantity AS INT) * 5) AS r
 FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3""")
 

@@ -22,7 +22,7 @@ def raster_sql(src, keys, w, h, name):
  greatest(ceil(least(py0,py1,py2)), 0)::INT AS ylo, least(floor(greatest(py0,py1,py2)), {h}-1)::INT AS yhi FROM {src} WHERE pz0 > 0 AND pz1 > 0 AND pz2 > 0) WHERE abs(den) >= 1e-10 AND xlo <= xhi AND ylo <= yhi),
 {name}_c AS (SELECT *, unnest(generate_series(xlo, xhi)) AS x FROM {name}_b),
 {name}_h AS (SELECT *, u/pz0+v/pz1+(1-u-v)/pz2 AS inv FROM (SELECT *, ((py1-py2)*(x-px2)+(px2-px1)*(y-py2))/den AS u, ((py2-py0)*(x-px2)+(px0-px2)*(y-py2))/den AS v FROM {name}_c) WHERE u >= -1e-7 AND v >= -1e-7 AND 1-u-v >= -1e-7),
-{name} AS MATERIALIZED (SELECT {k}, x, y, m.z AS z, m.fid AS fid, m.b0 AS b0, m.b1 AS b1 FROM (SELECT {k}, x, y, min({{'z': 1/inv, 'fid': fid, 'b0': u/pz0/inv, 'b1': v/pz1/inv}}) AS m FROM {name}_h GROUP BY ALL))"""
+{name} AS MATERIALIZED (SELECT {k}, x::INT AS x, y::INT AS y, m.z AS z, m.fid AS fid, m.b0 AS b0, m.b1 AS b1 FROM (SELECT {k}, x, y, min({{'z': 1/inv, 'fid': fid, 'b0': u/pz0/inv, 'b1': v/pz1/inv}}) AS m FROM {name}_h GROUP BY ALL))"""
 
 
 VIEW_TRI = ("vt0 AS (SELECT c.*, m.view_id, m.ext, m.k, m.w, m.h FROM corners c JOIN cameras m ON c.scene_id = m.scene_id), "
@@ -30,7 +30,7 @@ VIEW_TRI = ("vt0 AS (SELECT c.*, m.view_id, m.ext, m.k, m.w, m.h FROM corners c
             "vt AS (SELECT scene_id, view_id, fid, w, h, " + ", ".join(pixel(str(i)).replace(f"AS u{i}", f"AS px{i}").replace(f"AS v{i}", f"AS py{i}") + f", cz{i} AS pz{i}" for i in range(3)) + " FROM vt1)")
 VIEW_RASTER = f"{VIEW_TRI}, {raster_sql('vt', ['scene_id', 'view_id'], 'w', 'h', 'zb')}"
 ATLAS_W, ATLAS_H = 256, 64
-ATLAS = "at AS (SELECT scene_id, fid, " + ", ".join(f"u{n}*{ATLAS_W}-0.5 AS px{i}, (1-v{n})*{ATLAS_H}-0.5 AS py{i}, 1.0::DOUBLE AS pz{i}" for i, n in enumerate("abc")) + f" FROM uv_corners), {raster_sql('at', ['scene_id'], ATLAS_W, ATLAS_H, 'tx')}"
+ATLAS = "att AS (SELECT scene_id, fid, " + ", ".join(f"u{n}*{ATLAS_W}-0.5 AS px{i}, (1-v{n})*{ATLAS_H}-0.5 AS py{i}, 1.0::DOUBLE AS pz{i}" for i, n in enumerate("abc")) + f" FROM uv_corners), {raster_sql('att', ['scene_id'], ATLAS_W, ATLAS_H, 'tx')}"
 
 
 def _zbuffer(t):

@@ -1,6 +1,7 @@
 """Camera and pixel-map arithmetic on row-major arrays of doubles.
 
-``ext`` is a world-to-camera 3x4 array of 12, ``k`` a 3x3 intrinsic array of 9, pixel maps are 3x3 arrays of 9.
+``ext`` is a world-to-camera 3x4 array of 12, ``k`` a 3x3 intrinsic array of 9, pixel maps are 3x3 arrays of 9. Where
+only elements are read, a list of 12 or 9 columns does as well as an array column.
 Pixel coordinates are integer centres with a top-left origin.
 """
 

@@ -13,17 +13,38 @@ from ..functions import matrices as M
 CELL = ["scene_id", "view_id", "x", "y"]
 
 
+FLAT = [f"_e{i}" for i in range(12)] + [f"_k{i}" for i in range(9)]
+
+
+def flat_cameras(cameras: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Camera table with one scalar column per matrix element, and those columns as two lists.
+
+    Scalars keep the generated projection code small enough to compile; array reads would each carry a bounds check.
+    """
+    ext, k = [F.col("ext")[i].alias(f"_e{i}") for i in range(12)], [F.col("k")[i].alias(f"_k{i}") for i in range(9)]
+    return (cameras.select("scene_id", "view_id", *keep, *ext, *k), [F.col(n) for n in FLAT[:12]],
+            [F.col(n) for n in FLAT[12:]])
+
+
+def once(**cols: Column) -> Column:
+    """Generator that emits the named columns, evaluated once per row.
+
+    Later filters and expressions read the emitted values instead of repeating the arithmetic, which keeps the
+    generated code below the size that can be compiled.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+
+
 def in_views(points: DataFrame, cameras: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every point in every view of its scene, with u, v and camera depth z_cam.
 
     The camera table has a few rows per scene; the join is on the scene, never a cross product of scenes.
     ``keep`` names camera columns to carry along.
     """
-    cams = cameras.select("scene_id", "view_id", "ext", "k", *[c for c in keep if c not in ("ext", "k")])
-    joined = points.join(cams, "scene_id").withColumn(
-        "_p", M.project(F.col("x"), F.col("y"), F.col("z"), F.col("ext"), F.col("k")))
-    drop = [c for c in ("ext", "k") if c not in keep]
-    return joined.withColumns({"u": F.col("_p.u"), "v": F.col("_p.v"), "z_cam": F.col("_p.z")}).drop("_p", *drop)
+    cams, ext, k = flat_cameras(cameras, keep)
+    pixel = M.project(F.col("x"), F.col("y"), F.col("z"), ext, k)
+    return points.join(cams, "scene_id").select(
+        *points.columns, "view_id", *keep, once(u=pixel["u"], v=pixel["v"], z_cam=pixel["z"]))
 
 
 def _gather(pts: DataFrame, pixels: DataFrame, cols: dict[str, float | bool | int | None], px: Column,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
-from .gather import sample_nearest_clamped
+from .gather import flat_cameras, once, sample_nearest_clamped
 
 KEYS = ["scene_id", "view_id"]
 
@@ -28,12 +28,13 @@ def rasterize(triangles: DataFrame, keys: list[str], w: Column, h: Column) -> Da
         box[f"_{a}lo"] = F.greatest(F.ceil(F.least(*ends)), F.lit(0)).cast("int")
         box[f"_{a}hi"] = F.least(F.floor(F.greatest(*ends)), size - 1).cast("int")
     corner = [f"p{a}{i}" for i in range(3) for a in "xyz"]
-    boxed = good.withColumns(box).where("_xlo <= _xhi AND _ylo <= _yhi").select(
+    boxed = good.select(*keys, "fid", "_den", *corner, once(**box)).where("_xlo <= _xhi AND _ylo <= _yhi").select(
         *keys, "fid", "_den", *corner, "_xlo", "_xhi", F.explode(F.sequence("_ylo", "_yhi")).alias("y")) \
         .select(*keys, "fid", "_den", *corner, "y", F.explode(F.sequence("_xlo", "_xhi")).alias("x"))
     u = ((c("py1") - c("py2")) * (c("x") - c("px2")) + (c("px2") - c("px1")) * (c("y") - c("py2"))) / c("_den")
     v = ((c("py2") - c("py0")) * (c("x") - c("px2")) + (c("px0") - c("px2")) * (c("y") - c("py2"))) / c("_den")
-    hit = boxed.withColumns({"_u": u, "_v": v}).where((c("_u") >= -1e-7) & (c("_v") >= -1e-7) & (1.0 - c("_u") - c("_v") >= -1e-7))
+    hit = boxed.select(*keys, "fid", "pz0", "pz1", "pz2", "x", "y", once(_u=u, _v=v)) \
+        .where((c("_u") >= -1e-7) & (c("_v") >= -1e-7) & (1.0 - c("_u") - c("_v") >= -1e-7))
     inv = c("_u") / c("pz0") + c("_v") / c("pz1") + (1.0 - c("_u") - c("_v")) / c("pz2")
     hit = hit.withColumn("_inv", inv)
     best = hit.groupBy(*keys, "x", "y").agg(F.min(F.struct(
@@ -44,12 +45,13 @@ def rasterize(triangles: DataFrame, keys: list[str], w: Column, h: Column) -> Da
 
 def project_corners(corners: DataFrame, cameras: DataFrame) -> DataFrame:
     """Triangles of every view: corner columns x0.. become px0, py0, pz0 .. ."""
-    cams = cameras.select("scene_id", "view_id", "ext", "k", "w", "h")
+    cams, ext, k = flat_cameras(cameras, ("w", "h"))
     out = corners.join(cams, "scene_id")
+    cols = {}
     for i in range(3):
-        out = out.withColumn(f"_p{i}", M.project(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}"), F.col("ext"), F.col("k")))
-    return out.select("scene_id", "view_id", "fid", "w", "h", *[F.col(f"_p{i}.{s}").alias(f"p{d}{i}") for i in range(3)
-                                                               for s, d in (("u", "x"), ("v", "y"), ("z", "z"))])
+        p = M.project(F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"z{i}"), ext, k)
+        cols |= {f"px{i}": p["u"], f"py{i}": p["v"], f"pz{i}": p["z"]}
+    return out.select("scene_id", "view_id", "fid", "w", "h", once(**cols))
 
 
 def view_zbuffer(corners: DataFrame, cameras: DataFrame) -> DataFrame:
