@@ -27,9 +27,9 @@ def _(t):
     return _px(t, (K.srgb_linear(F.col("r")), "lin"), (K.srgb_encode(F.col("g") / 400), "enc"))
 
 
-@query("f31_luma", f"SELECT {CELLS}, {r6('r*0.2126::DOUBLE+g*0.7152::DOUBLE+b*0.0722::DOUBLE','luma')} FROM pixels")
+@query("f31_luma", f"SELECT {CELLS}, {r6('r/7.13::DOUBLE*0.2126::DOUBLE+g/7.13::DOUBLE*0.7152::DOUBLE+b/7.13::DOUBLE*0.0722::DOUBLE','luma')} FROM pixels")
 def _(t):
-    return _px(t, (K.luma(F.col("r"), F.col("g"), F.col("b")), "luma"))
+    return _px(t, (K.luma(F.col("r") / 7.13, F.col("g") / 7.13, F.col("b") / 7.13), "luma"))
 
 
 def lab_sql(src, out):
@@ -122,7 +122,7 @@ def _(t):
 
 @query("g21_exposure_gains")
 def _(t):
-    return X.exposure_gains(_pairs(t), t.cameras, 30).select("scene_id", "view_id", *[rounded(F.col(f"gain_{c}"), f"gain_{c}") for c in "rgb"])
+    return X.exposure_gains(_pairs(t), t.cameras).select("scene_id", "view_id", *[rounded(F.col(f"gain_{c}"), f"gain_{c}") for c in "rgb"])
 
 
 def _labels_sql(rounds):
@@ -183,7 +183,7 @@ tv AS MATERIALIZED (SELECT q.scene_id, q.tx, q.ty, q.view_id, q.u, q.v, q.w, q.h
  WHERE cz > 0 AND u >= 1 AND u < w-2 AND v >= 1 AND v < h-2 AND d.distance > 0 AND abs(cz-zb.z) < 0.0025+cz/k[1]*1.5),
 ts AS ({bilinear_sql('tv', ['r', 'g', 'b'], *CLAMP)}),
 texels AS MATERIALIZED (SELECT t.scene_id, t.x AS tx, t.y AS ty, t.fid, coalesce(s.view_id+1, 0) AS source_code, CASE WHEN s.view_id IS NULL THEN 0 WHEN md >= 2 AND score >= 0.15 THEN 2 ELSE 1 END AS quality_code,
- coalesce(round_even(least(greatest(s_r,0),255),0)::INT, 145) AS r, coalesce(round_even(least(greatest(s_g,0),255),0)::INT, 120) AS g, coalesce(round_even(least(greatest(s_b,0),255),0)::INT, 90) AS b
+ CASE WHEN s.view_id IS NULL THEN 145 ELSE round_even(least(greatest(s_r,0),255),0)::INT END AS r, CASE WHEN s.view_id IS NULL THEN 120 ELSE round_even(least(greatest(s_g,0),255),0)::INT END AS g, CASE WHEN s.view_id IS NULL THEN 90 ELSE round_even(least(greatest(s_b,0),255),0)::INT END AS b
  FROM tx t LEFT JOIN ts s ON (t.scene_id*1000+t.x)*1000+t.y = (s.scene_id*1000+s.tx)*1000+s.ty)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,30 +71,33 @@ def exposure_pairs(scores: DataFrame, least_faces: int = 200) -> DataFrame:
     return wide.join(sized, pair)
 
 
-def exposure_gains(pairs: DataFrame, views: DataFrame, sweeps: int = 200) -> DataFrame:
-    """Per-view channel gains from pair differences: least squares with view 0 anchored at weight 10.
+def _scene_solver():
+    """The solve of one scene; a nested function travels to the workers by value."""
+    def solve(pairs: pd.DataFrame) -> pd.DataFrame:
+        views = np.unique(np.concatenate([pairs["view_i"], pairs["view_j"], [0]]))
+        at = {v: i for i, v in enumerate(views)}
+        design = np.zeros((len(pairs) + 1, len(views)))
+        for row, (i, j) in enumerate(zip(pairs["view_i"], pairs["view_j"])):
+            design[row, at[i]], design[row, at[j]] = 1.0, -1.0
+        design[-1, at[0]] = 10.0
+        target = np.vstack([pairs[["log_r", "log_g", "log_b"]].to_numpy(), np.zeros((1, 3))])
+        found = np.linalg.lstsq(design, target, rcond=None)[0]
+        out = pd.DataFrame(np.clip(np.exp(found), 0.65, 1.6), columns=["gain_r", "gain_g", "gain_b"])
+        out = out.assign(scene_id=pairs["scene_id"].iloc[0], view_id=views)
+        return out[["scene_id", "view_id", "gain_r", "gain_g", "gain_b"]]
 
-    The normal equations of a scene are a small weighted graph; they are solved for all scenes at once by damped
-    Jacobi sweeps, each one grouped update over the view table. Views without a pair keep gain 1; log gains are
-    exponentiated and clipped to .65 - 1.6.
+    return solve
+
+
+def exposure_gains(pairs: DataFrame, views: DataFrame) -> DataFrame:
+    """Per-view channel gains: least squares on the pair differences with view 0 anchored at weight 10.
+
+    A task admits 3 to 12 photos, so a scene's pair table has at most 66 rows; each scene is one small solve. Log gains
+    are exponentiated and clipped to .65 - 1.6; views without a pair keep gain 1.
     """
-    key = ["scene_id", "view_id"]
-    ends = F.array(F.struct(F.col("view_i").alias("view_id"), F.col("view_j").alias("other"), F.lit(1.0).alias("sign")),
-                   F.struct(F.col("view_j").alias("view_id"), F.col("view_i").alias("other"), F.lit(-1.0).alias("sign")))
-    ways = cut_lineage(pairs.select("scene_id", *[f"log_{c}" for c in "rgb"], F.explode(ends).alias("_e")).select(
-        "scene_id", "_e.view_id", "_e.other", *[(F.col(f"log_{c}") * F.col("_e.sign")).alias(f"d{c}") for c in "rgb"]))
-    anchor = F.when(F.col("view_id") == 0, 100.0).otherwise(0.0)
-    state = views.select(*key, *[F.lit(0.0).alias(f"g{c}") for c in "rgb"])
-    for sweep in range(sweeps):
-        near = state.select("scene_id", F.col("view_id").alias("other"), *[F.col(f"g{c}").alias(f"o{c}") for c in "rgb"])
-        sums = ways.join(near, ["scene_id", "other"]).groupBy(*key).agg(
-            F.count("*").alias("_n"), *[F.sum(F.col(f"o{c}") + F.col(f"d{c}")).alias(f"_{c}") for c in "rgb"])
-        state = state.join(sums, key, "left").select(
-            *key, *[F.when(F.col("_n").isNull(), F.lit(0.0)).otherwise(F.col(f"g{c}") * 0.4 + F.col(f"_{c}") / (F.col("_n") + anchor) * 0.6)
-                    .alias(f"g{c}") for c in "rgb"])
-        if sweep % 10 == 9:
-            state = cut_lineage(state)
-    return state.select(*key, *[K.clip(F.exp(f"g{c}"), 0.65, 1.6).alias(f"gain_{c}") for c in "rgb"])
+    schema = "scene_id long, view_id int, gain_r double, gain_g double, gain_b double"
+    solved = pairs.select("scene_id", "view_i", "view_j", "log_r", "log_g", "log_b").groupBy("scene_id").applyInPandas(_scene_solver(), schema)
+    return views.select("scene_id", "view_id").join(solved, ["scene_id", "view_id"], "left").na.fill(1.0, ["gain_r", "gain_g", "gain_b"])
 
 
 def smooth_labels(scores: DataFrame, adjacency: DataFrame, faces: DataFrame, rounds: int = 8) -> DataFrame:
@@ -165,10 +170,9 @@ def bake_texels(texels: DataFrame, labels: DataFrame, fallback: DataFrame, views
     mask_distance, score, w, h). Photo samples round, fill colours are whole already. Code 0 = no photo.
     """
     key = ["scene_id", "tx", "ty"]
-    chosen = texels.select(*key, "fid").join(labels, FACE)
+    chosen = texels.select(*key, "fid").join(labels.where("label >= 0").withColumnRenamed("label", "view_id"), FACE).drop("fid")
     seen = views.where("valid").select(*key, "view_id", "u", "v", "w", "h", "mask_distance", "score")
-    hit = chosen.join(seen, (chosen.label == seen.view_id) & (chosen.scene_id == seen.scene_id) & (chosen.tx == seen.tx)
-                      & (chosen.ty == seen.ty)).select(chosen.scene_id, chosen.tx, chosen.ty, *[seen[c] for c in ("view_id", "u", "v", "w", "h", "mask_distance", "score")])
+    hit = chosen.join(seen, [*key, "view_id"])
     hit = sample_bilinear_clamped(hit, pixels, ["r", "g", "b"], F.col("w"), F.col("h"))
     hit = hit.select(*key, (F.col("view_id") + 1).alias("_code"), "mask_distance", "score",
                      *[F.rint(K.clip(F.col(f"s_{c}"), 0.0, 255.0)).cast("int").alias(f"_{c}") for c in "rgb"])
