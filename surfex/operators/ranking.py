@@ -37,8 +37,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str,
     slack = 10 / accuracy
     names = list(points)
     ends = [e for n in names for e in (max(0.0, points[n] - slack), min(1.0, points[n] + slack))]
-    sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", ends, accuracy).alias("_b"), F.count("*").alias("_n"))
-    spans = F.array(*[F.struct(F.lit(i).alias("q"), F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi"))
+    sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", ends, accuracy).alias("_b"), F.count("*").alias("_n"),
+                                     F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    # Below 4/slack rows the bracket could be narrower than the two ranks in question: take the whole small group.
+    small = F.col("_n") * slack < 4
+    spans = F.array(*[F.struct(F.lit(i).alias("q"), F.when(small, F.col("_least")).otherwise(F.col("_b")[2 * i]).alias("lo"),
+                               F.when(small, F.col("_most")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"))
                       for i in range(len(names))])
     cut = base.join(sketch.select(*keys, "_n", spans.alias("_spans")), keys) \
         .select(*keys, "_n", "_v", F.explode("_spans").alias("_s")) \
