@@ -20,9 +20,9 @@ def _lines(t):
     return t.events.select(text.alias("value"))
 
 
-@query("s9_parse_events", f"WITH {LINES} SELECT job_id, event, completed, diagnostic, count(*) AS n FROM (SELECT CASE WHEN g THEN value->>'jobID' END AS job_id, CASE WHEN g THEN value->>'event' END AS event, CASE WHEN g THEN (value->>'completed')::INT END AS completed, CASE WHEN NOT g THEN value END AS diagnostic FROM (SELECT value, CASE WHEN value LIKE '{{%' THEN (value->>'protocolVersion') = '1' ELSE false END AS g FROM ln)) GROUP BY ALL")
+@query("s9_parse_events", f"WITH {LINES} SELECT job_id, event, completed, diagnostic, count(*) AS n FROM (SELECT CASE WHEN g THEN value->>'jobID' END AS job_id, CASE WHEN g THEN value->>'event' END AS event, CASE WHEN g THEN (value->>'completed')::INT ELSE -1 END AS completed, CASE WHEN NOT g THEN value END AS diagnostic FROM (SELECT value, CASE WHEN value LIKE '{{%' THEN (value->>'protocolVersion') = '1' ELSE false END AS g FROM ln)) GROUP BY ALL")
 def _(t):
-    return J.parse_events(_lines(t)).groupBy("job_id", "event", "completed", "diagnostic").agg(F.count("*").alias("n"))
+    return J.parse_events(_lines(t)).na.fill(-1, ["completed"]).groupBy("job_id", "event", "completed", "diagnostic").agg(F.count("*").alias("n"))
 
 
 STATE = """en AS (SELECT job_id, min({'ts': ts, 'id': event_id, 'event': event, 'message': message}) FILTER (event IN ('completed','failed','cancelled')) AS e FROM job_events GROUP BY 1),
@@ -47,10 +47,10 @@ def _(t):
     return J.session_state(e).select("job_id", "outcome")
 
 
-@query("e5_next_attempt", f"WITH {STATE} SELECT job_id, attempt, CASE WHEN attempt = 0 THEN 518 ELSE 392 END AS model_size, CASE WHEN attempt = 0 AND status NOT IN ('completed','cancelled') AND coalesce(contains(message, 'memory budget'), false) THEN 392 END AS next_size FROM (SELECT *, (job_id::INT % 2) AS attempt FROM st)")
+@query("e5_next_attempt", f"WITH {STATE} SELECT job_id, attempt, CASE WHEN attempt = 0 THEN 518 ELSE 392 END AS model_size, CASE WHEN attempt = 0 AND status NOT IN ('completed','cancelled') AND coalesce(contains(message, 'memory budget'), false) THEN 392 ELSE 0 END AS next_size FROM (SELECT *, (job_id::INT % 2) AS attempt FROM st)")
 def _(t):
     s = J.job_state(t.job_events).withColumn("attempt", F.col("job_id").cast("int") % 2).withColumn("error", F.lit(None).cast("string"))
-    return J.next_attempt(s).select("job_id", "attempt", "model_size", "next_size")
+    return J.next_attempt(s).select("job_id", "attempt", "model_size", F.coalesce("next_size", F.lit(0)).alias("next_size"))
 
 
 @query("g23_stage_stats", "SELECT job_id, stage, max(seconds) AS elapsed, max(rss_bytes) AS peak_rss, count(*) AS samples FROM job_samples GROUP BY 1, 2")
