@@ -57,7 +57,7 @@ SELECT scene_id, view_id,
    ELSE array(1e0,0e0,0e0,0e0, 0e0,8e-1,-6e-1,0e0, 0e0,6e-1,8e-1,4e0) END AS ext,
   array(focal,0e0,195e-1, 0e0,focal,145e-1, 0e0,0e0,1e0) AS k, CAST(40 AS INT) AS w, CAST(30 AS INT) AS h
 FROM (SELECT DISTINCT CAST(floor(s_suppkey / 10) AS BIGINT) AS scene_id, CAST(s_suppkey % 5 AS INT) AS view_id,
-  CAST(70 + floor(s_suppkey / 10) % 3 AS DOUBLE) AS focal FROM supplier) c""")
+  7013e-2 + floor(s_suppkey / 10) % 3 AS focal FROM supplier) c""")
 
 # Pixels of every view.
 bind("pixels", """

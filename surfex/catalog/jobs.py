@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs as J
 from . import bindings  # noqa: F401
 from .geometry import rounded
-from .registry import query
+from .registry import Tables, query
 from .text import r6
 
 LINES = """ln AS (SELECT event_id, CASE WHEN event_id % 10 = 3 THEN concat('Traceback ', event_id) WHEN event_id % 10 = 4 THEN concat('{"protocolVersion": 2, "event": "x", "jobID": "', user_id, '"}')
@@ -80,12 +80,38 @@ def _lines_of(events):
     return _lines(h)
 
 
+def _live(t):
+    """The same bindings over the events read as a stream."""
+    live = Tables(t.spark, t.folder)
+    live.cache["events"] = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    return live
+
+
 def _sample_stream(t):
-    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    k = F.col("event_id") % 3
-    return raw.select(F.col("user_id").cast("string").alias("job_id"), "event_id", "ts", F.when(k == 0, "inference").when(k == 1, "fusion").otherwise("texture").alias("stage"),
-                      F.col("value").alias("seconds"), F.floor(F.col("value") * 1e7).cast("bigint").alias("rss_bytes"),
-                      F.when(k == 0, F.floor(F.col("value") * 2e7).cast("bigint")).alias("driver_bytes"))
+    return _live(t).job_samples
+
+
+@query("e2_stream_job_state", f"WITH {STATE} SELECT job_id, status, stage, message FROM st")
+def _(t):
+    from ..streaming.events import job_state_stream, latest, run_to_table
+    return latest(run_to_table(job_state_stream(_live(t).job_events), "update"), "job_id")
+
+
+@query("e3_stream_budget_breaches", "SELECT job_id, stage, event_id, rss_bytes FROM job_samples WHERE rss_bytes > 800000000 OR coalesce(driver_bytes > 1200000000, false) OR seconds > 100 QUALIFY row_number() OVER (PARTITION BY job_id, stage ORDER BY ts, event_id) = 1")
+def _(t):
+    from ..streaming.events import budget_breach_stream, run_to_table
+    return run_to_table(budget_breach_stream(_sample_stream(t), 800000000, 1200000000, 100.0), "complete").select("job_id", "stage", "event_id", "rss_bytes")
+
+
+def _session_flags(e):
+    return e.select("job_id", (F.col("value") > 300).alias("cancelled"), F.coalesce(F.col("message").contains("memory"), F.lit(False)).alias("request_failed"),
+                    F.coalesce(F.col("stage") == "package", F.lit(False)).alias("has_model"), (F.col("event") == "completed").alias("processing_complete"))
+
+
+@query("e4_stream_session_state", "SELECT job_id, CASE WHEN max(value) > 300 THEN 'cancelled' WHEN bool_or(message LIKE '%memory%') THEN 'failed' WHEN bool_or(event = 'completed') AND bool_or(stage = 'package') THEN 'completed' ELSE 'incomplete' END AS outcome FROM job_events GROUP BY 1")
+def _(t):
+    from ..streaming.events import latest, run_to_table, session_state_stream
+    return latest(run_to_table(session_state_stream(_session_flags(_live(t).job_events)), "update"), "job_id").select("job_id", "outcome")
 
 
 @query("w7_changed_events", "SELECT job_id, event_id FROM (SELECT *, lag(event) OVER w AS pe, lag(stage) OVER w AS ps, row_number() OVER w AS rn FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)) WHERE rn = 1 OR pe IS DISTINCT FROM event OR ps IS DISTINCT FROM stage")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as K
 from .gather import CELL, close_box
-from .ranking import exact_quantiles
+from .ranking import exact_quantiles, exact_quantiles_of
 from .raster import splat
 
 
@@ -102,13 +102,14 @@ def mask_audit(mask: DataFrame, w: Column, h: Column, band: int = 32, crop: int
     m = mask.select(*keys, "x", "y")
     box = m.groupBy(*keys).agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"))
     near = m.join(box, keys)
-    upper = near.where(F.col("y") < F.col("top") + (F.col("bottom") - F.col("top")) * 0.65)
-    rightmost = upper.groupBy(*keys).agg(F.max("x").alias("right_x"))
-    top_x = exact_quantiles(near.where(F.col("y") < F.col("top") + band), keys, "x", {"top_x": 0.5})
-    bottom_x = exact_quantiles(near.where(F.col("y") > F.col("bottom") - band), keys, "x", {"bottom_x": 0.5})
-    side = upper.join(rightmost, keys).where(F.col("x") > F.col("right_x") - band // 2)
-    right_y = exact_quantiles(side, keys, "y", {"right_y": 0.5})
-    out = box.join(rightmost, keys).join(top_x, keys).join(bottom_x, keys).join(right_y, keys)
+    upper = F.col("y") < F.col("top") + (F.col("bottom") - F.col("top")) * 0.65
+    rightmost = near.where(upper).groupBy(*keys).agg(F.max("x").alias("right_x"))
+    near = near.join(rightmost, keys)
+    mid = exact_quantiles_of(near, keys, {
+        "top": (F.when(F.col("y") < F.col("top") + band, F.col("x")), {"top_x": 0.5}),
+        "bottom": (F.when(F.col("y") > F.col("bottom") - band, F.col("x")), {"bottom_x": 0.5}),
+        "side": (F.when(upper & (F.col("x") > F.col("right_x") - band // 2), F.col("y")), {"right_y": 0.5})})
+    out = box.join(rightmost, keys).join(mid, keys)
     out = out.withColumns({c: F.col(c).cast("int") for c in ("top_x", "bottom_x", "right_y")})
     reach = band * 5 // 2
     anchors = {"a": (F.col("top_x"), F.col("top") + reach), "b": (F.col("right_x") - reach, F.col("right_y")),

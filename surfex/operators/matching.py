@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import matrices as M
 from ..operators.ledger import use_ledger
 from .gather import sample_nearest_clamped
-from .ranking import exact_quantiles
+from .ranking import exact_quantiles_of
 
 
 def _block_matcher():
@@ -118,13 +118,11 @@ def reprojection(matches: DataFrame, pixels: DataFrame, cameras: DataFrame, dept
 def residual_report(residuals: DataFrame) -> DataFrame:
     """Per view pair: count, median and p95 error, median signed offsets, share ahead of the camera, share of the diagonal."""
     keys = ["scene_id", "view_a", "view_b"]
-    err = exact_quantiles(residuals, keys, "error", {"median_px": 0.5, "p95_px": 0.95})
-    dx = exact_quantiles(residuals, keys, "dx", {"median_dx": 0.5})
-    dy = exact_quantiles(residuals, keys, "dy", {"median_dy": 0.5})
+    mid = exact_quantiles_of(residuals, keys, {"error": (F.col("error"), {"median_px": 0.5, "p95_px": 0.95}),
+                                               "dx": (F.col("dx"), {"median_dx": 0.5}), "dy": (F.col("dy"), {"median_dy": 0.5})})
     base = residuals.groupBy(*keys).agg(F.count("*").alias("matches"), F.avg((F.col("z_cam") > 0).cast("double")).alias("ahead"),
                                         F.max(F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h"))).alias("_diag"))
-    out = base.join(err, keys).join(dx, keys).join(dy, keys)
-    return out.withColumn("diagonal_share", F.col("median_px") / F.col("_diag")).drop("_diag")
+    return base.join(mid, keys).withColumn("diagonal_share", F.col("median_px") / F.col("_diag")).drop("_diag")
 
 
 def centroid(vectors: DataFrame) -> DataFrame:

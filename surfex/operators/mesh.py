@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matrices as M
 from ..session import cut_lineage
-from .ranking import exact_quantiles, row_index
+from .ranking import exact_quantiles_of, row_index
 
 
 def with_corners(faces: DataFrame, vertices: DataFrame, cols: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -252,9 +252,7 @@ def display_transform(points: DataFrame, robust: bool = False) -> DataFrame:
     ``robust`` uses the median and the 1-99 percentile range instead of the bounds.
     """
     if robust:
-        stats = points.select("scene_id").distinct()
-        for a in "xyz":
-            stats = stats.join(exact_quantiles(points, ["scene_id"], a, {f"_lo{a}": 0.01, f"_c{a}": 0.5, f"_hi{a}": 0.99}), "scene_id")
+        stats = exact_quantiles_of(points, ["scene_id"], {a: (F.col(a), {f"_lo{a}": 0.01, f"_c{a}": 0.5, f"_hi{a}": 0.99}) for a in "xyz"})
     else:
         stats = points.groupBy("scene_id").agg(*[f(a).alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
         stats = stats.withColumns({f"_c{a}": (F.col(f"_lo{a}") + F.col(f"_hi{a}")) / 2 for a in "xyz"})

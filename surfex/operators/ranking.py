@@ -61,6 +61,19 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str,
     return out if by else out.drop("_all")
 
 
+def exact_quantiles_of(df: DataFrame, by: list[str], specs: dict[str, tuple[Column, dict[str, float]]]) -> DataFrame:
+    """Quantiles of several value expressions in one pass: {label: (value, {output name: point})}.
+
+    The values are stacked, so the input is read once for all of them; a null value is left out.
+    """
+    points = sorted({q for _, named in specs.values() for q in named.values()})
+    stack = F.array(*[F.struct(F.lit(label).alias("_metric"), value.cast("double").alias("_value")) for label, (value, _) in specs.items()])
+    found = exact_quantiles(df.select(*by, F.inline(stack)), [*by, "_metric"], "_value", {f"_q{i}": q for i, q in enumerate(points)})
+    outputs = [F.max(F.when(F.col("_metric") == label, F.col(f"_q{points.index(q)}"))).alias(name)
+               for label, (_, named) in specs.items() for name, q in named.items()]
+    return found.groupBy(*by).agg(*outputs)
+
+
 def thin_evenly(df: DataFrame, order: list[str], bucket: Column, n: int, by: list[str] | None = None) -> DataFrame:
     """Rows at the integer positions floor(i * (rows-1) / (n-1)), i < n; all rows when there are at most n."""
     by = by or []

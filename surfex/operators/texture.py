@@ -110,30 +110,27 @@ def smooth_labels(scores: DataFrame, adjacency: DataFrame, faces: DataFrame, rou
     own = cut_lineage(scores.where(F.col("score") > 1e-6).select(*FACE, "view_id", "score"))
     ways = cut_lineage(both_ways(adjacency))
     seen = best_view(own).select(*FACE, F.col("view_id").alias("label"))
-    base = faces.select(*FACE)
-
-    def complete(picked: DataFrame) -> DataFrame:
-        return base.join(picked, FACE, "left").select(*FACE, F.coalesce("label", F.lit(0)).alias("label"))
-
-    labels = complete(seen)
+    # Faces without any usable view take no part in the choice: their label stays 0 in every round.
+    fixed = cut_lineage(faces.select(*FACE).join(own.select(*FACE).distinct(), FACE, "left_anti").withColumn("label", F.lit(0)))
+    labels = seen.unionByName(fixed)
     for turn in range(rounds):
         votes = ways.join(labels.withColumnRenamed("fid", "neighbour"), ["scene_id", "neighbour"]) \
             .groupBy(*FACE, F.col("label").alias("view_id")).agg(F.count("*").alias("_votes"))
         total = own.join(votes, [*FACE, "view_id"], "left").select(
             *FACE, "view_id", (F.col("score") + F.coalesce("_votes", F.lit(0)) * 0.1).alias("score"))
-        labels = complete(best_view(total).select(*FACE, F.col("view_id").alias("label")))
+        labels = best_view(total).select(*FACE, F.col("view_id").alias("label"))
         if turn % 4 == 3 and turn + 1 < rounds:
             labels = cut_lineage(labels)
-    known = own.select(*FACE).distinct().withColumn("_p", F.lit(True))
-    return labels.join(known, FACE, "left").select(*FACE, F.when(F.col("_p"), F.col("label")).otherwise(-1).alias("label"))
+        seen, labels = labels, labels.unionByName(fixed)
+    return seen.unionByName(fixed.withColumn("label", F.lit(-1)))
 
 
 def diffuse_fill(colors: DataFrame, adjacency: DataFrame, rounds: int = 64) -> DataFrame:
     """Give faces without a photo the mean colour of their known neighbours, round by round.
 
     Input (scene_id, fid, known, r, g, b). Synchronous; stops when no new face is reached; faces never reached keep
-    the fallback colour. The result truncates to whole values. Only the newest frontier is joined in each round: a
-    face is filled in the round after its first neighbour became known, and all neighbours known by then count.
+    the fallback colour. The result truncates to whole values. Only edges of faces that lacked a photo at the start are
+    joined; a face is filled in the round after its first neighbour became known, and all neighbours known by then count.
     """
     ways = cut_lineage(both_ways(adjacency))
     done = cut_lineage(colors.where("known").select(*FACE, "r", "g", "b", F.lit(0).alias("step")))

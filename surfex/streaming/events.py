@@ -33,14 +33,15 @@ def write_parsed(lines: DataFrame, events_path: str, diagnostics_path: str, chec
 def _job_folder(final: tuple[str, ...], moves: tuple[str, ...]):
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, stage, message = state.get if state.exists else ("starting", None, None)
-        for pdf in batches:
-            for event, at, text in pdf.sort_values(["ts", "event_id"])[["event", "stage", "message"]].itertuples(index=False, name=None):
-                if status in final:
-                    break
-                if event in final:
-                    status, message = event, text
-                elif event in moves:
-                    status, stage = "running", at
+        # One micro-batch of one job may come in several unordered pieces; only the few events that matter are kept.
+        pieces = [p.loc[p["event"].isin([*final, *moves]), ["ts", "event_id", "event", "stage", "message"]] for p in batches]
+        for event, at, text in pd.concat(pieces).sort_values(["ts", "event_id"])[["event", "stage", "message"]].itertuples(index=False, name=None):
+            if status in final:
+                break
+            if event in final:
+                status, message = event, text
+            else:
+                status, stage = "running", at
         state.update((status, stage, message))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "stage": [stage], "message": [message]})
 
@@ -50,7 +51,8 @@ def _job_folder(final: tuple[str, ...], moves: tuple[str, ...]):
 def job_state_stream(events: DataFrame) -> DataFrame:
     """Latest status and stage per job; final statuses stay. State is three strings per job.
 
-    Events of a job arrive in order over one pipe, so each micro-batch only needs ordering within itself.
+    Events of a job arrive in order over one pipe, so only the events of one micro-batch are ordered here; the source's
+    rate option (for files ``maxFilesPerTrigger``) bounds how many that are.
     """
     return events.groupBy("job_id").applyInPandasWithState(
         _job_folder(jobs.FINAL_EVENTS, jobs.STAGE_EVENTS), "job_id string, status string, stage string, message string",
@@ -83,6 +85,13 @@ def budget_breach_stream(samples: DataFrame, rss_limit: int, driver_limit: int,
     return jobs.budget_breaches(samples, rss_limit, driver_limit, second_limit)
 
 
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """Newest row per key of a table written in update mode by ``run_to_table``."""
+    rest = [c for c in updates.columns if c not in (*keys, "_batch")]
+    best = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_m"))
+    return best.select(*keys, "_m.*")
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is available now and read its result back from the shared checkpoint folder."""
     root = f"{checkpoint_folder(stream.sparkSession)}/streams/{uuid.uuid4().hex}"
