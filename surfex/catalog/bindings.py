@@ -88,8 +88,10 @@ FROM (SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_quantity
   CAST(round(l_discount * 100) AS INT) AS j, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, count(*) AS n
   FROM lineitem GROUP BY 1, 2, 3) g""")
 
-bind("faces", """
-SELECT f.scene_id, f.fid, f.v0, f.v1, f.v2, f.fid % 7 = 3 AS completion
+# Two triangles per lattice cell whose corners all exist.
+bind("corners", """
+SELECT f.scene_id, f.fid, f.fid % 7 = 3 AS completion, f.v0, f.v1, f.v2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1,
+  c.x AS x2, c.y AS y2, c.z AS z2
 FROM (SELECT scene_id, CAST((floor(vid / 11) * 10 + vid % 11) * 2 AS BIGINT) AS fid, vid AS v0, vid + 11 AS v1, vid + 1 AS v2
       FROM vertices WHERE vid % 11 < 10 AND vid < 550
       UNION ALL
@@ -99,12 +101,7 @@ JOIN vertices a ON f.scene_id * 1000 + f.v0 = a.scene_id * 1000 + a.vid
 JOIN vertices b ON f.scene_id * 1000 + f.v1 = b.scene_id * 1000 + b.vid
 JOIN vertices c ON f.scene_id * 1000 + f.v2 = c.scene_id * 1000 + c.vid""")
 
-bind("corners", """
-SELECT f.scene_id, f.fid, f.completion, f.v0, f.v1, f.v2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1,
-  c.x AS x2, c.y AS y2, c.z AS z2
-FROM faces f JOIN vertices a ON f.scene_id * 1000 + f.v0 = a.scene_id * 1000 + a.vid
-JOIN vertices b ON f.scene_id * 1000 + f.v1 = b.scene_id * 1000 + b.vid
-JOIN vertices c ON f.scene_id * 1000 + f.v2 = c.scene_id * 1000 + c.vid""")
+bind("faces", "SELECT scene_id, fid, v0, v1, v2, completion FROM corners")
 
 # Broken surface with many parts: faces whose corners lie high on average.
 bind("faces_kept", """
