@@ -55,6 +55,24 @@ def mix(values: np.ndarray) -> np.ndarray:
     return v
 
 
+PIECE_BYTES = 1 << 20
+
+
+def text_pieces(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``PIECE_BYTES``: first and last index, their bytes each ended by a newline, and the bounds.
+
+    Text i of the run is ``data[bounds[i]:bounds[i + 1] - 1]``; a text longer than that is a run of its own.
+    """
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text) + 1
+        if held >= PIECE_BYTES or i == len(texts) - 1:
+            run = texts[first:i + 1]
+            bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in run])))
+            yield first, i + 1, np.frombuffer(b"\n".join(run) + b"\n", np.uint8), bounds
+            first, held = i + 1, 0
+
+
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _BASE = 0x5851F42D4C957F2D
 
@@ -75,9 +93,26 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of UTF-8 ``data`` (uint8).
 
     The hash is a polynomial of the word's bytes, read off prefix sums and shifted back by the inverse power, so the
-    same word has the same hash wherever it stands. The powers take eight bytes per byte of the longest call.
+    same word has the same hash wherever it stands. Long data goes in pieces cut between words, so the powers stay as
+    short as a piece or the longest word.
     """
     space = (data == 32) | ((data >= 9) & (data <= 13))
+    if len(data) > PIECE_BYTES:
+        parts, at = [], 0
+        while at < len(data):
+            ahead = np.flatnonzero(space[at + PIECE_BYTES // 2:at + PIECE_BYTES])
+            if len(ahead):
+                to = at + PIECE_BYTES // 2 + int(ahead[0]) + 1
+            else:
+                later = np.flatnonzero(space[at + PIECE_BYTES:])
+                to = at + PIECE_BYTES + int(later[0]) + 1 if len(later) else len(data)
+            parts.append((at, _hashes(data[at:to], space[at:to])))
+            at = to
+        return tuple(np.concatenate([p[i] + at if i < 2 else p[i] for at, p in parts]) for i in range(3))
+    return _hashes(data, space)
+
+
+def _hashes(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
