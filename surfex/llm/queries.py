@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import differencing, exact_dedup, prefix_bpe, quality_trees
+
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +35,21 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def _(table):
     return exact_dedup.find_copies(table("documents")).drop("fp")
+
+
+@query("op2_tree_quality")
+def _(table):
+    return quality_trees.classify(table("documents"), table("labels"))
+
+
+@query("op4_differencing_shards")
+def _(table):
+    return differencing.shard_documents(table("documents")).drop("group_key")
+
+
+@query("op6_prefix_bpe")
+def _(table, path=f"{TOKENIZERS}/word_bpe_49k.json"):
+    docs = table("documents").select("doc_id", "text")
+    done = prefix_bpe.decode(prefix_bpe.encode(docs, path), path)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
