@@ -134,3 +134,30 @@ def word_grams(hashes: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             out = out * np.uint64(0xC6A4A7935BD1E995) + hashes[k:k + size]
     return mix(out)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links`` (a long, b long): root is the smallest node of its connected component.
+
+    Large-star and small-star steps in turn: every node's larger neighbours, then its smaller ones, are linked to its
+    least neighbour, until nothing changes. Least neighbours are pre-aggregated; edges meet them in a join of two
+    written tables, so adaptive execution can split a hub. Loops and repeated links do no harm.
+    """
+    from surfex.session import cut_lineage
+
+    edges = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    before = None
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = cut_lineage(large)
+        least = cut_lineage(large.groupBy("b").agg(F.min("a").alias("m")))
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
+        edges = cut_lineage(small)
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
+        edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

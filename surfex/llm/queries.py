@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import differencing, exact_dedup, prefix_bpe, quality_trees
+from . import best_fit, differencing, exact_dedup, license_rules, partenum_join, phrase_automata, prefix_bpe, quality_trees, robust_rules, secret_scan
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -53,3 +53,58 @@ def _(table, path=f"{TOKENIZERS}/word_bpe_49k.json"):
     done = prefix_bpe.decode(prefix_bpe.encode(docs, path), path)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_randomness_secrets")
+def _(table):
+    found = secret_scan.find_secrets(table("documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["place"] < 3)
+    count = lambda place: F.size(F.filter("spans", lambda s: s["place"] == place)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
+@query("op9_variable_best_fit")
+def _(table):
+    return best_fit.pack(table("documents"))
+
+
+def _license_oracle() -> str:
+    """The same cut, map and ordered rules as list functions; a rule is met if each of its sentences follows the one before."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    names = "map([" + ", ".join(map(quoted, license_rules.SENTENCES.values())) + "], [" + ", ".join(map(quoted, license_rules.SENTENCES)) + "])"
+    longer = {(n, r): [q for m, q in license_rules.RULES if m != n and len(q) > len(r) and q[:len(r)] == r] for n, r in license_rules.RULES}
+    met = lambda r: "regexp_matches(joined, " + quoted(".*".join(f",{s}," for s in r)) + ")"
+    cases = ", ".join(f"CASE WHEN {met(r)}" + "".join(f" AND NOT {met(q)}" for q in longer[n, r]) + f" THEN {quoted(n)} END" for n, r in license_rules.RULES)
+    return rf"""
+WITH pieces AS (SELECT doc_id, row_number() OVER () AS id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+    '([.!?:;])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), '\n[ \t\n\x0b\f\r]*\n', chr(1), 'g'), '\n([ \t]*([0-9]+\.|[*-]) |[A-Z][a-z])', chr(1) || '\1', 'g'), chr(1)) AS parts
+  FROM documents),
+plain AS (SELECT doc_id, list_transform(parts, s -> trim(regexp_replace(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '^[ \t\n\x0b\f\r]*([0-9]+\.|[*-])[ \t\n\x0b\f\r]', ''), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM pieces),
+known AS (SELECT doc_id, list_filter(list_transform(parts, s -> {names}[s]), x -> x IS NOT NULL) AS ids FROM plain),
+text AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, x -> ',' || x || ','), 'string_agg', '') AS joined FROM known)
+SELECT doc_id, len(ids) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
+  coalesce(list_aggregate(list_sort(list_distinct([{cases}])), 'string_agg', ','), '') AS licences FROM text"""
+
+
+@query("op8_license_rules", _license_oracle())
+def _(table):
+    found = license_rules.recognise(table("documents"))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentence_ids"),
+                        F.array_join("licences", ",").alias("licences"))
+
+
+@query("op7_robust_outliers")
+def _(table):
+    return robust_rules.apply_rules(table("documents"))
+
+
+@query("op5_partenum_join")
+def _(table):
+    return partenum_join.similar_groups(table("documents")).drop("first", "fp")
+
+
+@query("op3_phrase_automata")
+def _(table):
+    return phrase_automata.remove_repeats(table("documents"))
