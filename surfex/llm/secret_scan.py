@@ -37,26 +37,35 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once: what a lambda function reads from outside is computed anew for each entry."""
+    return F.transform(F.array(value), f)[0]
+
+
 def running_sum(values: Column, block: int = 256) -> Column:
     """Sums of the first 1, 2, ... entries of an int array, by blocks, so that long arrays don't cost their square."""
-    blocks = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / block).cast("int")),
-                         lambda b: _sum(F.slice(values, b * block + 1, F.lit(block))))
-    return F.transform(values, lambda _, i: _sum(F.slice(blocks, F.lit(1), (i / block).cast("int")))
-                       + _sum(F.slice(values, (i / block).cast("int") * block + 1, i % block + 1)))
+    def sums(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / block).cast("int")), lambda b: _sum(F.slice(all_, b * block + 1, F.lit(block))))
+        whole = _let(blocks, lambda own: F.transform(own, lambda _, b: _sum(F.slice(own, F.lit(1), b))))
+        return _let(whole, lambda before: F.transform(all_, lambda _, i: before[(i / block).cast("int")]
+                                                      + _sum(F.slice(all_, (i / block).cast("int") * block + 1, i % block + 1))))
+
+    return _let(values, sums)
 
 
 def matches(text: Column, pattern: str, place: int, group: int = 0, least: int = 0) -> Column:
     """Spans (start, place, end), in code points, of the leftmost non-overlapping matches whose ``group`` is long enough."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(whole, F.length)
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.transform(sizes, lambda _, i: between[i] + F.when(i > 0, sizes[i - 1]).otherwise(0))
-    starts = running_sum(steps)
-    spans = F.transform(sizes, lambda n, i: F.struct(starts[i].alias("start"), F.lit(place).alias("place"), (starts[i] + n).alias("end")))
-    if least:
-        kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
-        spans = F.filter(spans, lambda _, i: kept[i] >= least)
-    return F.when(text.rlike(pattern), spans).otherwise(F.lit(None).cast(_SPAN))
+    lengths = lambda parts: F.transform(parts, F.length)
+    found = F.struct(lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("sizes"), lengths(F.split(text, pattern, -1)).alias("between"),
+                     lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("kept"))
+
+    def spans(m: Column) -> Column:
+        steps = F.transform(m["sizes"], lambda _, i: m["between"][i] + F.when(i > 0, m["sizes"][i - 1]).otherwise(0))
+        out = _let(running_sum(steps), lambda starts: F.transform(m["sizes"], lambda n, i: F.struct(
+            starts[i].alias("start"), F.lit(place).alias("place"), (starts[i] + n).alias("end"))))
+        return F.filter(out, lambda _, i: m["kept"][i] >= least) if least else out
+
+    return F.when(text.rlike(pattern), _let(found, spans)).otherwise(F.lit(None).cast(_SPAN))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -72,36 +81,67 @@ def _encoding(token: Column) -> Column:
             .when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), 2).when(token.rlike("^[0-9A-Za-z]+$"), 3).otherwise(4))
 
 
-def battery(token: Column, encoding: Column) -> Column:
-    """Combined p-value of a token of an encoding; small where it doesn't look random."""
-    alphabet = F.element_at(F.array(*map(F.lit, ALPHABETS)), encoding + 1)
-    k = F.length(alphabet)
-    letters = F.when(encoding.isin(0, 2), F.lower(token)).when(encoding == 4, F.translate(token, "-_", "+/")).otherwise(token)
-    v = F.transform(F.split(letters, ""), lambda c: F.instr(alphabet, c) - 1)
-    n = F.size(v)
-
-    cells = F.greatest(F.lit(2), F.least(F.lit(16), (n / 5).cast("int")))
-    cell = lambda x: (x * cells / k).cast("int")
-    expected = lambda j: n * (F.ceil((j + 1) * k / cells) - F.ceil(j * k / cells)) / k
-    chi = F.aggregate(F.sequence(F.lit(0), cells - 1), F.lit(0.0),
-                      lambda a, j: a + F.pow(F.size(F.filter(v, lambda x: cell(x) == j)) - expected(j), F.lit(2.0)) / expected(j))
-    free = (cells - 1).cast("double")
-    uniform = _upper_tail((F.pow(chi / free, F.lit(1 / 3)) - 1 + 2 / (9 * free)) / F.sqrt(2 / (9 * free)))
-
-    high = F.transform(v, lambda x: (2 * x >= k).cast("int"))
-    n1 = _sum(high).cast("double")
-    n0 = n - n1
-    changes = 1 + _sum(F.transform(F.slice(high, F.lit(2), n - 1), lambda x, i: (x != high[i]).cast("int")))
-    centre = 2 * n0 * n1 / n + 1
-    spread = F.sqrt((centre - 1) * (centre - 2) / (n - 1))
-    runs = F.when((n0 > 0) & (n1 > 0) & (centre > 2.0), 2 * _upper_tail(F.abs(changes - centre) / spread)).otherwise(0.0)
-
-    mean = _sum(v) / n
-    fold = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    square = fold(F.transform(v, lambda x: (x - mean) * (x - mean)))
-    product = fold(F.transform(F.slice(v, F.lit(2), n - 1), lambda x, i: (x - mean) * (v[i] - mean)))
-    serial = F.when(square > 0, 2 * _upper_tail(F.abs(product / square + 1 / n) * F.sqrt(n.cast("double")))).otherwise(0.0)
-    return F.least(F.lit(1.0), 3 * F.least(uniform, runs, serial))
+def _extend(items: Column, **fields) -> Column:
+    """An array of structs with further fields, each a function of the struct; a field is computed once however often it is read."""
+    return F.transform(items, lambda c: F.struct(c.alias("_"), *(f(c).alias(name) for name, f in fields.items())))
+
+
+def battery(tokens: Column) -> Column:
+    """array<struct<span, band, bin>> of array<struct<span, token, code>>; bin is that of the combined p-value."""
+    def alphabet(c: Column) -> Column:
+        return F.array(*map(F.lit, ALPHABETS))[c["code"]]
+
+    def values(c: Column) -> Column:
+        letters = (F.when(c["code"].isin(0, 2), F.lower(c["token"])).when(c["code"] == 4, F.translate(c["token"], "-_", "+/")).otherwise(c["token"]))
+        return F.transform(F.split(letters, ""), lambda x: F.instr(alphabet(c), x) - 1)
+
+    fold = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
+    one = _extend(tokens, k=lambda c: F.length(alphabet(c)), v=values, n=lambda c: F.length(c["token"]))
+    two = _extend(one, cells=lambda c: F.greatest(F.lit(2), F.least(F.lit(16), (c["n"] / 5).cast("int"))), mean=lambda c: _sum(c["v"]) / c["n"],
+                  high=lambda c: F.transform(c["v"], lambda x: (2 * x >= c["k"]).cast("int")))
+
+    def seen(c: Column) -> Column:
+        k = c["_"]["k"]
+        cell = F.transform(c["_"]["v"], lambda x: (x * c["cells"] / k).cast("int"))
+        return F.transform(F.sequence(F.lit(0), c["cells"] - 1), lambda j: F.struct(
+            F.size(F.filter(cell, lambda x: x == j)).alias("is"),
+            (c["_"]["n"] * (F.ceil((j + 1) * k / c["cells"]) - F.ceil(j * k / c["cells"])) / k).alias("due")))
+
+    def product(c: Column) -> Column:
+        v, mean = c["_"]["v"], c["mean"]
+        pairs = F.arrays_zip(F.slice(v, F.lit(1), c["_"]["n"] - 1), F.slice(v, F.lit(2), c["_"]["n"] - 1))
+        return fold(pairs, lambda p: (p["0"] - mean) * (p["1"] - mean))
+
+    def changes(c: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(c["high"], F.lit(1), c["_"]["n"] - 1), F.slice(c["high"], F.lit(2), c["_"]["n"] - 1))
+        return F.aggregate(pairs, F.lit(1), lambda a, p: a + (p["0"] != p["1"]).cast("int"))
+
+    three = _extend(two, seen=seen, n1=lambda c: _sum(c["high"]).cast("double"), changes=changes, product=product,
+                    square=lambda c: fold(c["_"]["v"], lambda x: (x - c["mean"]) * (x - c["mean"])))
+    four = _extend(three, chi=lambda c: fold(c["seen"], lambda x: F.pow(x["is"] - x["due"], F.lit(2.0)) / x["due"]), free=lambda c: (c["_"]["cells"] - 1).cast("double"),
+                   centre=lambda c: 2 * (c["_"]["_"]["n"] - c["n1"]) * c["n1"] / c["_"]["_"]["n"] + 1)
+
+    def normal(c: Column) -> Column:
+        return (F.pow(c["chi"] / c["free"], F.lit(1 / 3)) - 1 + 2 / (9 * c["free"])) / F.sqrt(2 / (9 * c["free"]))
+
+    def runs(c: Column) -> Column:
+        spread = F.sqrt((c["centre"] - 1) * (c["centre"] - 2) / (c["_"]["_"]["_"]["n"] - 1))
+        return F.when(c["centre"] > 2, F.abs(c["_"]["changes"] - c["centre"]) / spread)
+
+    def serial(c: Column) -> Column:
+        n = c["_"]["_"]["_"]["n"]
+        return F.when(c["_"]["square"] > 0, F.abs(c["_"]["product"] / c["_"]["square"] + 1 / n) * F.sqrt(n.cast("double")))
+
+    five = _extend(four, z1=normal, z2=runs, z3=serial)
+    six = _extend(five, p=lambda c: F.least(_upper_tail(c["z1"]), F.coalesce(2 * _upper_tail(c["z2"]), F.lit(0.0)), F.coalesce(2 * _upper_tail(c["z3"]), F.lit(0.0))))
+
+    def result(c: Column) -> Column:
+        inner = c["_"]["_"]["_"]["_"]
+        token, p = inner["_"]["_"], F.least(F.lit(1.0), F.greatest(3 * c["p"], F.lit(1e-12)))
+        band = token["code"] * _BANDS + F.least(F.lit(_BANDS - 1), F.floor(2 * F.log2(inner["_"]["n"] / 20)).cast("int"))
+        return F.struct(token["span"].alias("span"), band.alias("band"), F.ceil(_STEP * F.log10(p)).cast("int").alias("bin"))
+
+    return F.transform(six, result)
 
 
 def _with_spans(docs: DataFrame, least_bits: float) -> DataFrame:
@@ -111,16 +151,13 @@ def _with_spans(docs: DataFrame, least_bits: float) -> DataFrame:
     out = docs.withColumn("_text", whole_text()).withColumns({
         "_assign": matches(text, ASSIGN, 0, 2, 12), "_access": matches(text, ACCESS, 1), "_hex": matches(text, HEX, 2), "_long": matches(text, TOKEN, 3)})
     out = out.withColumn("_base", F.array_sort(F.concat(*(F.coalesce(F.col(c), empty) for c in ("_assign", "_access", "_hex")))))
-    clear = F.filter("_long", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    clear = _let(F.col("_base"), lambda base: F.filter("_long", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     found = F.transform(clear, lambda s: F.struct(s.alias("span"), F.rtrim(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("=")).alias("token")))
     mixed = F.filter(found, lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]"))
     coded = F.transform("_mixed", lambda c: F.struct(c["span"].alias("span"), c["token"].alias("token"), _encoding(c["token"]).alias("code")))
     bits = F.array(*(F.lit(math.log2(len(a))) for a in ALPHABETS))
     long_enough = F.filter("_coded", lambda c: F.length(c["token"]) * bits[c["code"]] >= least_bits)
-    tested = F.transform("_coded", lambda c: F.struct(
-        c["span"].alias("span"),
-        (c["code"] * _BANDS + F.least(F.lit(_BANDS - 1), F.floor(2 * F.log2(F.length(c["token"]) / 20)).cast("int"))).alias("band"),
-        F.ceil(_STEP * F.log10(F.greatest(battery(c["token"], c["code"]), F.lit(1e-12)))).cast("int").alias("bin")))
+    tested = battery(F.col("_coded"))
     return (out.withColumn("_mixed", F.when(F.size("_long") > 0, mixed)).withColumn("_coded", F.when(F.size("_mixed") > 0, coded))
             .withColumn("_coded", F.when(F.size("_coded") > 0, long_enough)).withColumn("_tested", F.when(F.size("_coded") > 0, tested))
             .drop("_text", "_long", "_mixed", "_coded", "_access", "_hex", "_assign"))
