@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -24,16 +26,22 @@ from tokenizers import Tokenizer
 
 _END = "\n"  # stands for the word-end suffix; byte-level alphabets have no newline
 _NEVER = 1 << 60
+# The word rule of the file that the quick path knows, and the same rule for letters below U+0100, which NFC
+# leaves alone; white space other than spaces, tabs and line ends takes the long path.
+_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SIMPLE = re.compile("[\t\n\r -~\u00a1-\u00ff]*")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 _MODELS: dict[int, WordBpe] = {}
 
 
 class WordBpe:
     """A vocabulary file of the tokenizers library whose BPE marks word ends and drops white space.
 
-    Normalising and cutting into words follow the file's own rules; ``kept`` bounds the words whose ids are remembered.
+    Normalising and cutting into words follow the file's own rules; twice ``kept`` bounds the words whose ids are remembered.
     """
 
-    def __init__(self, text: str, kept: int = 150_000):
+    def __init__(self, text: str, kept: int = 120_000):
         parts = json.loads(text)
         model, suffix = parts["model"], parts["model"].get("end_of_word_suffix")
         if model["type"] != "BPE" or not suffix or parts["decoder"] is not None:
@@ -58,87 +66,138 @@ class WordBpe:
             tree.setdefault(whole, (left, right, r))
         if any(tree[x][2] >= r for left, right, r in tree.values() for x in (left, right) if x in tree):
             raise ValueError("a merge rule stands before one that it needs")
-        self.pairs, self.left, self.right = {}, {}, {}
+        self.tree, self.pairs, whole_tokens = tree, {}, set()
         automaton = ahocorasick.Automaton()
         for token, i in sorted(vocabulary.items(), key=lambda x: tree.get(x[1], (0, 0, -1))[2]):
             if i in tree:
                 a, b, r = tree[i]
                 # Letters encode to the token if both halves do so and the first rule to join pieces of both is its own.
-                if a not in self.left or b not in self.left or self._first(a, b) != r:
+                if a not in whole_tokens or b not in whole_tokens or self._first(a, b) != r:
                     continue
             elif len(token.removesuffix(_END)) != 1:
                 continue  # no rule makes it
-            self.left[i], self.right[i] = self._edge(i, 0, tree), self._edge(i, 1, tree)
+            whole_tokens.add(i)
             automaton.add_word(token, (i, len(token)))
         automaton.make_automaton()
-        self.matches, self.words, self.kept = automaton.iter, {}, kept
+        self.matches, self.kept = automaton.iter, kept
+        self.recent, self.older, self.chunks = {}, {}, {}
+        self.letters = [self._letter(b) for b in range(256)]
+        self.plain_specials = all("<" in t for t in self.special)
+        # The quick path knows the rules of one kind of file; other files go by their own rules alone.
+        self.simple = _SIMPLE if [n["type"] for n in parts["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and parts["pre_tokenizer"][
+            "pretokenizers"][0]["pattern"]["Regex"] == _RULE else re.compile("(?!)")
 
     @staticmethod
-    def _edge(token: int, side: int, tree: dict) -> list[tuple[int, int]]:
+    def _letter(byte: int) -> str:
+        """Letter of a byte in the byte-level alphabet: printable ones stand for themselves, the others follow from 256 on."""
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        return chr(byte if byte in printable else 256 + sum(b not in printable for b in range(byte)))
+
+    def _edge(self, token: int, side: int) -> Iterator[tuple[int, int]]:
         """Pieces at one edge of a token, from the whole inwards, each with the rank of the rule that ends it."""
-        out, ends = [], _NEVER
+        ends = _NEVER
         while True:
-            out.append((token, ends))
-            if token not in tree:
-                return out
-            ends, token = tree[token][2], tree[token][side]
+            yield token, ends
+            if token not in self.tree:
+                return
+            ends, token = self.tree[token][2], self.tree[token][side]
 
     def _first(self, a: int, b: int) -> int:
         """Rank of the rule that first joins pieces of ``a`` and ``b``; of equal pairs the leftmost merges first."""
-        return min((r for x, x_ends in self.right[a] for y, y_ends in self.left[b]
-                    if (r := self.rank.get((x, y), _NEVER)) < x_ends and r <= y_ends), default=_NEVER)
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether ``a`` followed by ``b`` stays as it is."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= 500_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._first(a, b) == _NEVER
+        left = list(self._edge(b, 0))
+        return min((r for x, x_ends in self._edge(a, 1) for y, y_ends in left if (r := self.rank.get((x, y), _NEVER)) < x_ends and r <= y_ends), default=_NEVER)
+
+    def _compatible(self, a: int, b: int) -> bool:
+        if len(self.pairs) >= 400_000:
+            self.pairs.clear()
+        known = self.pairs[a << 20 | b] = self._first(a, b) == _NEVER
         return known
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one word of the byte-level alphabet."""
-        n = len(word) + 1
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end, (token, size) in self.matches(word + _END):
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words of the byte-level alphabet, none empty; one pass of the automaton over all of them."""
+        text = _END.join(words) + _END
+        last, back, starts = [-1] * (len(text) + 1), [0] * (len(text) + 1), bytearray(len(text) + 1)
+        at = 0
+        for word in words:
+            starts[at] = 1
+            at += len(word) + 1
+        known, test = self.pairs.get, self._compatible
+        for end, (token, size) in self.matches(text):
             end += 1
-            if last[end] >= 0:
-                continue
-            start = end - size
-            before = last[start]
-            if start == 0 or (before >= 0 and self.compatible(before, token)):
+            if last[end] < 0:
+                start = end - size
+                if not starts[start]:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    fits = known(before << 20 | token)
+                    if not (test(before, token) if fits is None else fits):
+                        continue
                 last[end], back[end] = token, start
-        ids, at = [], n
-        while at:
-            ids.append(last[at])
-            at = back[at]
-        return ids[::-1]
+        out, end = [], 0
+        for word in words:
+            start, end = end, end + len(word) + 1
+            ids, at = [], end
+            while at > start:
+                ids.append(last[at])
+                at = back[at]
+            out.append(tuple(ids[::-1]))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        ids, at = [], 0
-        for special in self.specials.finditer(text):
-            self._plain(text[at:special.start()], ids)
-            ids.append(self.special[special.group()])
-            at = special.end()
-        self._plain(text[at:] if at else text, ids)
+        ids: list[int] = []
+        self.encode_into(text, ids)
         return ids
 
-    def _plain(self, text: str, ids: list[int]) -> None:
-        words = self.words
+    def encode_into(self, text: str, ids: list[int] | array) -> None:
+        """Append the ids of a text."""
+        at = 0
+        if "<" in text or not self.plain_specials:
+            for special in self.specials.finditer(text):
+                self._plain(text[at:special.start()], ids)
+                ids.append(self.special[special.group()])
+                at = special.end()
+        self._plain(text[at:] if at else text, ids)
+
+    def _plain(self, text: str, ids: list[int] | array) -> None:
+        if self.simple.fullmatch(text):
+            self._simple(text, ids)
+            return
         for chunk in text.replace("\n", " ").split(" "):
-            known = words.get(chunk)
+            if self.simple.fullmatch(chunk):
+                self._simple(chunk, ids)
+                continue
+            known = self.chunks.get(chunk)
             if known is None:
-                known = [i for word, _ in self.cut(self.normalize(chunk)) for i in self.encode_word(word)] if chunk else []
-                if len(words) >= self.kept:
-                    words.clear()
+                words = [word for word, _ in self.cut(self.normalize(chunk))]
+                known = [i for x in self.encode_words(words) for i in x] if words else []
+                if len(self.chunks) >= self.kept // 10:
+                    self.chunks.clear()
                 if len(chunk) < 100:
-                    words[chunk] = known
-            ids += known
+                    self.chunks[chunk] = known
+            ids.extend(known)
+
+    def _simple(self, text: str, ids: list[int] | array) -> None:
+        words = _WORDS.findall(text.lower())
+        missing = set(words).difference(self.recent)
+        if missing:
+            if len(self.recent) >= self.kept:
+                self.older, self.recent = self.recent, {}
+                missing = set(words)
+            new = []
+            for word in missing:
+                known = self.older.get(word)
+                if known is None:
+                    new.append(word)
+                else:
+                    self.recent[word] = known
+            if new:
+                letters = self.letters
+                self.recent.update(zip(new, self.encode_words([w if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in new])))
+        ids.extend(chain.from_iterable(map(self.recent.__getitem__, words)))
 
     def decode(self, ids: list[int] | None) -> str:
-        names = self.names
-        return " ".join([names[i] for i in ids or ()])
+        return " ".join(map(self.names.__getitem__, ids or ()))
 
 
 def _model(content: str) -> WordBpe:
@@ -156,12 +215,6 @@ def _sent(df: DataFrame, path: str) -> Callable[[], WordBpe]:
     return lambda: _model(content.value)
 
 
-def _lists(values: list[list[int]]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    flat = np.fromiter((i for v in values for i in v), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 def encode(df: DataFrame, path: str, text: Column | None = None) -> DataFrame:
     """``df`` with ``ids`` array<int>: the whole text's ids, empty for a null or empty text. An own ``ids`` is replaced.
 
@@ -171,8 +224,11 @@ def encode(df: DataFrame, path: str, text: Column | None = None) -> DataFrame:
     model = _sent(df, path)
 
     def run(texts: pa.Array) -> pa.Array:
-        bpe = model()
-        return _lists([bpe.encode(t or "") for t in texts.to_pylist()])
+        bpe, flat, offsets = model(), array("i"), array("i", [0])
+        for text in texts:
+            bpe.encode_into(text.as_py() or "", flat)
+            offsets.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.array(flat, np.int32)))
 
     return df.withColumn("ids", F.arrow_udf(run, "array<int>")(F.col("text") if text is None else text))
 
@@ -183,6 +239,6 @@ def decode(df: DataFrame, path: str, ids: Column | None = None) -> DataFrame:
 
     def run(lists: pa.Array) -> pa.Array:
         bpe = model()
-        return pa.array([bpe.decode(i) for i in lists.to_pylist()], pa.string())
+        return pa.array([bpe.decode(i.as_py()) for i in lists], pa.string())
 
     return df.withColumn("decoded", F.arrow_udf(run, "string")(F.col("ids") if ids is None else ids))
