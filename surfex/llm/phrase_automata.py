@@ -76,7 +76,7 @@ def _anchors(window: int, phrase: int, blocks: int | None, piece_rows: int):
                 order = np.lexsort((tags, anchors))
                 a, t = anchors[order], tags[order]
                 keep = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])))) if len(a) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(a[keep].view(np.int64))], names=["block", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(a[keep].view(np.int64))], names=["deal_block", "anchor"])
                 continue
             order = np.lexsort((spots, tags, anchors))
             a, t, d = anchors[order], tags[order], spots[order]
@@ -163,8 +163,7 @@ def _remove(window: int, phrase: int, with_text: bool):
     def run(held: pa.Table, marks: pa.Table) -> pa.Table:
         if not marks.num_rows:
             return _RESULT.empty_table()
-        marks = marks.sort_by("window")
-        hashes, anchors, first_doc, first_word = (long_array(marks[c].combine_chunks()) for c in ("window", "anchor", "first_doc", "first_word"))
+        hashes, anchors, first_doc, first_word = (long_array(marks[c].combine_chunks()) for c in ("mark_window", "mark_anchor", "first_doc", "first_word"))
         hashes = hashes.view(np.uint64)
         order = np.lexsort((anchors, hashes))
         hashes, anchors, first_doc, first_word = hashes[order], anchors[order], first_doc[order], first_word[order]
@@ -226,8 +225,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 5, block_byt
     recurring = cut_lineage(scan(same_text, "anchor long, low long, high long, twice int", None).groupBy("anchor")
                             .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("twice").alias("twice"))
                             .filter("low != high or twice > 0").select("anchor"))
-    dealt = scan(block, "block long, anchor long", blocks).join(recurring, "anchor", "left_semi")
-    found = cut_lineage(text.select(block.alias("block"), order.alias("doc"), "text").groupBy("block").cogroup(dealt.groupBy("block"))
+    dealt = scan(block, "deal_block long, anchor long", blocks).join(recurring, "anchor", "left_semi")
+    found = cut_lineage(text.select(block.alias("block"), order.alias("doc"), "text").groupBy("block").cogroup(dealt.groupBy("deal_block"))
                         .applyInArrow(_confirm(window, phrase), _FOUND_DDL))
 
     same = Window.partitionBy("window", "anchor")
@@ -235,8 +234,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 5, block_byt
     marks = (found.filter(F.col("kind") == _WINDOW).select("block", "window", "anchor", "doc", "word", "times")
              .withColumns({"all": F.sum("times").over(same), "first": F.min(place).over(same)})
              .filter((F.col("all") > 1) & ((F.col("times") > 1) | (F.col("first") != place)))
-             .select("block", "window", "anchor", F.col("first.doc").alias("first_doc"), F.col("first.word").alias("first_word")))
-    changed = (found.filter(F.col("kind") != _WINDOW).select("block", "kind", "anchor", "doc", "text").groupBy("block").cogroup(marks.groupBy("block"))
+             .select(F.col("block").alias("mark_block"), F.col("window").alias("mark_window"), F.col("anchor").alias("mark_anchor"),
+                     F.col("first.doc").alias("first_doc"), F.col("first.word").alias("first_word")))
+    changed = (found.filter(F.col("kind") != _WINDOW).select("block", "kind", "anchor", "doc", "text").groupBy("block").cogroup(marks.groupBy("mark_block"))
                .applyInArrow(_remove(window, phrase, with_text), "doc long, sha binary, n_removed long, kept_sha binary, kept string")
                .dropDuplicates(["doc", "sha"]).withColumnRenamed("sha", "own"))
 
