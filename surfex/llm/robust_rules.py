@@ -73,8 +73,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 def _vector() -> list[Column]:
     c = F.col("_count")
-    per_cent = lambda k: F.log1p(100.0 * c[k] / c[0])
-    return [F.log(c[1] / c[0]), per_cent(2), per_cent(3), per_cent(4)]
+    n = F.greatest(c[0], F.lit(1))  # texts without words fail the fixed limits
+    per_cent = lambda k: F.log1p(100.0 * c[k] / n)
+    return [F.log(F.greatest(c[1], F.lit(1)) / n), per_cent(2), per_cent(3), per_cent(4)]
 
 
 def _group() -> Column:
