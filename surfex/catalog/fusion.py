@@ -79,7 +79,7 @@ def _(t):
     return _evidence(t).groupBy("scene_id", "view_id", "i").agg(rounded(F.min("silhouette"), "low"), rounded(F.max("silhouette"), "high"))
 
 
-FIELD = "fs AS (SELECT scene_id, i, j, k_, spacing, shell, sum(d*certainty) AS s, sum(certainty) AS weight, max(silhouette) AS hull, count(*) FILTER (seen AND inside) AS foreground_views FROM ev GROUP BY ALL), fd AS (SELECT f.*, CASE WHEN shell THEN spacing*4 ELSE greatest(CASE WHEN weight > 0 THEN s/greatest(weight,1e-6) WHEN foreground_views >= interior THEN -spacing*4 ELSE spacing*4 END, hull, -spacing*4) END AS field FROM fs f JOIN nv ON f.scene_id = nv.scene_id)"
+FIELD = "fr AS (SELECT scene_id, i, j, k_, spacing, shell, sum(d*certainty) AS s, sum(certainty) AS weight, max(silhouette) AS hull, count(*) FILTER (seen AND inside) AS foreground_views FROM ev GROUP BY ALL), fs AS (SELECT * REPLACE (greatest(hull, -spacing*4) AS hull) FROM fr), fd AS (SELECT f.*, CASE WHEN shell THEN spacing*4 ELSE greatest(CASE WHEN weight > 0 THEN s/greatest(weight,1e-6) WHEN foreground_views >= interior THEN -spacing*4 ELSE spacing*4 END, hull, -spacing*4) END AS field FROM fs f JOIN nv ON f.scene_id = nv.scene_id)"
 
 
 def _field(t):

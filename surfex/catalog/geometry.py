@@ -179,12 +179,18 @@ def _(t):
     return G.close_box(t.pixels.where("mask"), 1, t.cameras)
 
 
+_TO_OTHER = """near AS (SELECT p.scene_id, p.view_id, p.x, p.y, p.inside, min((p.x-q.x)*(p.x-q.x)) AS dx FROM k p JOIN k q
+  ON (p.scene_id*5+p.view_id)*30+p.y = (q.scene_id*5+q.view_id)*30+q.y AND p.inside <> q.inside GROUP BY ALL)"""
+
+
 @query("j14_signed_distance", f"""WITH {MASK}, f AS (SELECT scene_id, view_id, x, y FROM cameras, (SELECT unnest(generate_series(0, 39)) AS x) a, (SELECT unnest(generate_series(0, 29)) AS y) b),
-k AS (SELECT f.*, m.x IS NOT NULL AS inside FROM f LEFT JOIN m ON ((f.scene_id*5+f.view_id)*30+f.y)*40+f.x = ((m.scene_id*5+m.view_id)*30+m.y)*40+m.x),
-o AS (SELECT unnest(generate_series(-4, 4)) AS dx), s AS MATERIALIZED (SELECT o.dx, p.dx AS dy, sqrt(o.dx*o.dx+p.dx*p.dx) AS d FROM o, o AS p WHERE o.dx*o.dx+p.dx*p.dx <= 16),
-e AS MATERIALIZED (SELECT k.*, d, ((scene_id*5+view_id)*100+y+dy)*100+x+dx AS key FROM k, s),
-n AS (SELECT q.scene_id, q.view_id, q.x, q.y, min(d) AS d FROM e q JOIN k r ON q.key = ((r.scene_id*5+r.view_id)*100+r.y)*100+r.x AND q.inside <> r.inside GROUP BY ALL)
-SELECT k.scene_id, k.view_id, k.x::INT AS x, k.y::INT AS y, {r6('CASE WHEN k.inside THEN -coalesce(d, 4) ELSE coalesce(d, 4) END', 'signed')} FROM k LEFT JOIN n ON ((k.scene_id*5+k.view_id)*30+k.y)*40+k.x = ((n.scene_id*5+n.view_id)*30+n.y)*40+n.x""")
+k AS MATERIALIZED (SELECT f.*, m.x IS NOT NULL AS inside FROM f LEFT JOIN m ON ((f.scene_id*5+f.view_id)*30+f.y)*40+f.x = ((m.scene_id*5+m.view_id)*30+m.y)*40+m.x),
+{_TO_OTHER},
+side AS MATERIALIZED (SELECT scene_id, view_id, x, y, NOT inside AS inside, 0 AS dx FROM k UNION ALL SELECT scene_id, view_id, x, y, inside, dx FROM near),
+n AS (SELECT p.scene_id, p.view_id, p.x, p.y, sqrt(min(q.dx + (p.y-q.y)*(p.y-q.y))) AS d FROM k p JOIN side q
+  ON ((p.scene_id*5+p.view_id)*40+p.x)*2+p.inside::INT = ((q.scene_id*5+q.view_id)*40+q.x)*2+q.inside::INT GROUP BY ALL)
+SELECT k.scene_id, k.view_id, k.x::INT AS x, k.y::INT AS y, {r6('CASE WHEN k.inside THEN -least(coalesce(d, 4), 4) ELSE least(coalesce(d, 4), 4) END', 'signed')}
+FROM k LEFT JOIN n ON ((k.scene_id*5+k.view_id)*30+k.y)*40+k.x = ((n.scene_id*5+n.view_id)*30+n.y)*40+n.x""")
 def _(t):
     return G.signed_mask_distance(t.pixels.where("mask"), t.cameras, 4).select("scene_id", "view_id", "x", "y", rounded(F.col("signed"), "signed"))
 

@@ -10,8 +10,8 @@ from .registry import query
 INV = """inv AS (SELECT *, sha256(content) AS content_sha256, CAST(octet_length(encode(content)) AS BIGINT) AS byte_count FROM files),
 known AS (SELECT DISTINCT sha256(content) AS content_sha256 FROM catalog)"""
 
-LADDER = """CASE WHEN name LIKE '.%' THEN 'ignored'
- WHEN decoded_type IS NULL AND lower(suffix) IN ('dng','raw','cr2','cr3','nef','arw','raf') THEN 'unsupported'
+LADDER = f"""CASE WHEN name LIKE '.%' THEN 'ignored'
+ WHEN decoded_type IS NULL AND lower(suffix) IN ({', '.join(repr(s) for s in C.RAW_SUFFIXES)}) THEN 'unsupported'
  WHEN decoded_type IS NULL AND lower(suffix) IN ('jpg','jpeg','heic','heif','png','tif','tiff','gif','bmp','webp') THEN 'unreadable'
  WHEN decoded_type IS NULL THEN 'ignored'
  WHEN decoded_type NOT IN ('public.jpeg','public.heic','public.heif','public.png','public.tiff') THEN 'unsupported'
@@ -57,7 +57,7 @@ def _(t):
  SELECT page_id, CASE page_id % 4 WHEN 0 THEN substring(url, 8) WHEN 1 THEN concat('/', url) WHEN 2 THEN concat('a/../', url) ELSE '' END AS p FROM pages)""")
 def _(t):
     k = F.col("page_id") % 4
-    path = F.when(k == 0, F.substring("url", 8, 100000)).when(k == 1, F.concat(F.lit("/"), "url")) \
+    path = F.when(k == 0, F.substr(F.col("url"), F.lit(8))).when(k == 1, F.concat(F.lit("/"), "url")) \
         .when(k == 2, F.concat(F.lit("a/../"), "url")).otherwise("")
     return t.pages.select("page_id", C.safe_path(path).alias("safe"))
 

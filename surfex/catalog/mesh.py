@@ -149,7 +149,7 @@ def _(t):
 def _taubin_sql():
     head = "ways AS MATERIALIZED (SELECT scene_id*1000+va AS p, scene_id*1000+vb AS q FROM (SELECT DISTINCT scene_id, va, vb FROM half_edges) UNION ALL SELECT scene_id*1000+vb, scene_id*1000+va FROM (SELECT DISTINCT scene_id, va, vb FROM half_edges)), s0 AS (SELECT scene_id*1000+vid AS p, x, y, z FROM vertices)"
     for i, f in enumerate((0.5, -0.53, 0.5)):
-        head += f", s{i+1} AS MATERIALIZED (SELECT v.p, {', '.join(f'v.{a}+coalesce(m.{a}-v.{a},0)*{f} AS {a}' for a in 'xyz')} FROM s{i} v LEFT JOIN (SELECT w.p, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ways w JOIN s{i} o ON w.q = o.p GROUP BY w.p) m ON v.p = m.p)"
+        head += f", s{i+1} AS MATERIALIZED (SELECT v.p, {', '.join(f'v.{a}+coalesce(m.{a}-v.{a},0)*{f} AS {a}' for a in 'xyz')} FROM s{i} v LEFT JOIN (SELECT w.p, {', '.join(f'CAST(sum(CAST(round({a}*1e12) AS HUGEINT)) AS DOUBLE)/count(*)/1e12 AS {a}' for a in 'xyz')} FROM ways w JOIN s{i} o ON w.q = o.p GROUP BY w.p) m ON v.p = m.p)"
     return f"WITH {head} SELECT p // 1000 AS scene_id, p % 1000 AS vid, {r6('x','x')}, {r6('y','y')}, {r6('z','z')} FROM s3"
 
 

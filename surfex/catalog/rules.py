@@ -149,28 +149,34 @@ def _(t):
 
 def _staged(t):
     plan = R.staging_plan(t.photos)
-    odd = F.col("photo_id") % 11
+    spoilt = lambda rule: F.col("photo_id") % 13 == _SPOILT[rule]
+    change = lambda rule, column, to: F.when(spoilt(rule), to).otherwise(F.col(column))
     return plan.withColumn("run_id", F.col("project_id")).withColumn(
-        "staged_path", F.concat(F.lit("cache/"), F.when(odd == 3, "x").otherwise(F.col("project_id").cast("string")), F.lit("/input/"),
+        "staged_path", F.concat(F.lit("cache/"), F.when(spoilt("staged_path"), "x").otherwise(F.col("project_id").cast("string")), F.lit("/input/"),
                                 F.col("photo_id").cast("string"), F.when(F.col("operation") == "tiff-to-png", ".png").otherwise(".jpg"))) \
-        .withColumn("input_sha256", F.when(odd == 5, F.sha2(F.lit("changed"), 256)).otherwise(F.col("content_sha256"))) \
-        .withColumn("input_width", F.when(odd == 7, F.col("input_width") + 1).otherwise(F.col("input_width")))
+        .withColumn("input_sha256", F.when(spoilt("content"), F.sha2(F.lit("changed"), 256)).when(spoilt("input_digest"), "none").otherwise(F.col("content_sha256"))) \
+        .withColumns({"recipe_version": change("known_recipe", "recipe_version", F.lit(7)), "input_width": change("size", "input_width", F.col("input_width") + 1),
+                      "input_orientation": change("orientation", "input_orientation", F.col("input_orientation") + 1),
+                      "original_to_input": change("transform", "original_to_input", M.vector(2, 0, 0, 0, 1, 0, 0, 0, 1)),
+                      "color_policy": change("color_policy", "color_policy", F.lit("none")), "input_type": change("type", "input_type", F.lit("public.data"))})
 
 
 _ORIENT = """CASE orientation WHEN 1 THEN [1,0,0,0,1,0,0,0,1] WHEN 2 THEN [-1,0,w-1,0,1,0,0,0,1] WHEN 3 THEN [-1,0,w-1,0,-1,h-1,0,0,1]
  WHEN 4 THEN [1,0,0,0,-1,h-1,0,0,1] WHEN 5 THEN [0,1,0,1,0,0,0,0,1] WHEN 6 THEN [0,-1,h-1,1,0,0,0,0,1] WHEN 7 THEN [0,-1,h-1,-1,0,w-1,0,0,1]
  WHEN 8 THEN [0,1,0,-1,0,w-1,0,0,1] END::DOUBLE[]"""
 
+#: Which recorded recipes the binding spoils, by photo_id modulo 13: one way for each of the nine rules that can fail.
+_SPOILT = {"known_recipe": 1, "staged_path": 2, "input_digest": 3, "size": 4, "orientation": 5, "transform": 6, "color_policy": 7, "content": 8, "type": 9}
 
-@query("f54_recipe_violations", rule_sql("(SELECT *, pixel_width AS w, pixel_height AS h, type_identifier = 'public.tiff' AS tiff FROM photos)", "photo_id",
-       staged_path="photo_id % 11 <> 3",
-       orientation="true", transform="NOT tiff OR orientation BETWEEN 1 AND 8",
-       size="photo_id % 11 <> 7", content="tiff OR photo_id % 11 <> 5"))
+
+@query("f54_recipe_violations", rule_sql("(SELECT *, photo_id % 13 AS odd, regexp_full_match(content_sha256, '[0-9a-f]{64}') AS valid, type_identifier = 'public.tiff' AS tiff FROM photos)", "photo_id",
+       known_recipe="odd <> 1", staged_path="odd <> 2", input_digest="valid AND odd <> 3",
+       size="CASE WHEN tiff AND odd = 1 AND orientation >= 5 THEN pixel_width = pixel_height ELSE odd <> 4 END", orientation="CASE WHEN tiff AND odd = 1 THEN orientation = 1 ELSE odd <> 5 END",
+       transform="CASE WHEN tiff AND odd = 1 THEN orientation = 1 WHEN tiff THEN orientation BETWEEN 1 AND 8 AND odd <> 6 ELSE odd <> 6 END",
+       color_policy="CASE WHEN tiff AND odd = 1 THEN false ELSE odd <> 7 END", content="(tiff AND odd <> 1) OR odd NOT IN (3, 8)",
+       type="CASE WHEN tiff AND odd = 1 THEN false ELSE odd <> 9 END"))
 def _(t):
-    out = R.recipe_violations(_staged(t)).withColumn("violations", F.filter("violations", lambda v: v != "orientation"))
-    order = ["staged_path", "transform", "size", "content"]
-    return out.select("photo_id", F.concat_ws(",", F.filter(F.array(*[F.when(F.array_contains("violations", n), n) for n in order]),
-                                                            lambda v: v.isNotNull())).alias("violations"))
+    return named(R.recipe_violations(_staged(t)), "photo_id")
 
 
 @query("f55_staging_plan", f"""SELECT photo_id, CASE WHEN tiff THEN 'tiff-to-png' ELSE 'original-file' END AS operation, CASE WHEN tiff AND orientation >= 5 THEN h ELSE w END AS input_width,
@@ -205,7 +211,7 @@ def _(t):
 
 
 _BOTH = """manifest AS (SELECT bundle_id, path, byte_count, sha256(content) AS sha256 FROM manifest_rows),
-present AS (SELECT bundle_id, path, CAST(length(content) AS BIGINT) AS byte_count, sha256(content) AS sha256 FROM present_rows)"""
+present AS (SELECT bundle_id, path, CAST(octet_length(encode(content)) AS BIGINT) AS byte_count, sha256(content) AS sha256 FROM present_rows)"""
 
 
 def _manifest(t):
@@ -213,7 +219,7 @@ def _manifest(t):
 
 
 def _present(t):
-    return t.present_rows.select("bundle_id", "path", F.length("content").cast("bigint").alias("byte_count"), C.digest(F.col("content")).alias("sha256"))
+    return t.present_rows.select("bundle_id", "path", F.octet_length("content").cast("bigint").alias("byte_count"), C.digest(F.col("content")).alias("sha256"))
 
 
 @query("j1_verify_artifacts", f"""WITH {_BOTH} SELECT m.path, CASE WHEN NOT ({safe('m.path')}) THEN 'unsafe-path' WHEN p.sha256 IS NULL THEN 'missing'

@@ -68,13 +68,13 @@ def _(t):
     return sinks.read_current(t.spark, path).select("project_id", "run_id", "quality")
 
 
-@query("s6_match_round_trip", "SELECT view_a, view_b, scene_id*2000+match_id AS key, round(xb, 4) + 0.0 AS xb FROM matches WHERE view_a = 0")
+@query("s6_match_round_trip", "SELECT view_a, view_b, scene_id*2000+match_id AS key, round(xb, 4) + 0.0 AS xb FROM matches")
 def _(t):
     path = _folder(t)
-    m = t.matches.where("view_a = 0").withColumn("key", F.col("scene_id") * 2000 + F.col("match_id"))
+    m = t.matches.withColumn("key", F.col("scene_id") * 2000 + F.col("match_id"))
     point = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
     # The first coordinate of the source point carries the key through the file.
-    pairs = m.select(F.struct(F.array(F.lit("p0"), F.lit("p1")).alias("names"), F.array(F.array(F.col("key").cast("double"), F.col("ya"))).alias("pointsA"),
+    pairs = m.select(F.struct(F.array(*(F.concat(F.lit("p"), F.col(v).cast("string")) for v in ("view_a", "view_b"))).alias("names"), F.array(F.array(F.col("key").cast("double"), F.col("ya"))).alias("pointsA"),
                               F.array(point("xb", "yb")).alias("pointsB")).alias("p"))
     pairs.groupBy(F.spark_partition_id()).agg(F.collect_list("p").alias("pairs")).select("pairs").write.option("maxRecordsPerFile", 1).json(path)
     views = t.cameras.select(F.concat(F.lit("p"), F.col("view_id").cast("string")).alias("name"), "view_id").distinct()

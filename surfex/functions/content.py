@@ -19,7 +19,7 @@ HEIC_BRANDS = ("heic", "heix", "hevc", "hevx")
 HEIF_BRANDS = ("mif1", "msf1", "heif")
 ACCEPTED_TYPES = ("public.jpeg", "public.heic", "public.heif", "public.png", "public.tiff")
 HEIF_TYPES = ("public.heic", "public.heif")
-RAW_SUFFIXES = ("dng", "raw", "cr2", "cr3", "nef", "arw", "raf")
+RAW_SUFFIXES = ("dng", "raw", "cr2", "cr3", "nef", "nrw", "arw", "sr2", "srf", "srw", "raf", "rw2", "orf", "pef", "3fr", "iiq", "rwl")
 IMAGE_SUFFIXES = ("jpg", "jpeg", "heic", "heif", "png", "tif", "tiff", "gif", "bmp", "webp")
 
 # Allocator phrases that mark a resource failure.

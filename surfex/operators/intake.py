@@ -37,15 +37,12 @@ def format_problem(name: Column, suffix: Column, decoded: Column, image_count: C
 def mark_first(df: DataFrame, key: str, order: str, flag: str, among: Column | None = None) -> DataFrame:
     """Add ``flag``: the row is the earliest of its key (among rows where ``among`` holds).
 
-    The minimum is pre-aggregated before the shuffle and joined back, so a key that holds most rows never gathers
-    in one window task; adaptive execution splits its join partition.
+    ``order`` is unique. The minima are pre-aggregated before the shuffle and joined back by ``order``, not by the key,
+    so a key that holds most rows neither gathers in one window task nor in one join task.
     """
     candidate = F.col(order) if among is None else F.when(among, F.col(order))
-    first = df.groupBy(key).agg(F.min(candidate).alias("_first"))
-    hit = F.col(order) == F.col("_first")
-    if among is not None:
-        hit = hit & among
-    return df.join(first, key, "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_first")
+    first = df.groupBy(key).agg(F.min(candidate).alias("_first")).where(F.col("_first").isNotNull()).select("_first")
+    return df.join(first, F.col(order) == F.col("_first"), "left").withColumn(flag, F.col("_first").isNotNull()).drop("_first")
 
 
 def dedupe_first(df: DataFrame, key: str = "content_sha256", order: str = "arrival") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matrices as M
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_cut
 from .ranking import exact_quantiles_of, row_index
 
 
@@ -83,6 +83,7 @@ def components(adjacency: DataFrame, faces: DataFrame, max_rounds: int = 60) ->
     edges = cut_lineage(edges)
     before = None
     for _ in range(max_rounds):
+        last = edges
         both = edges.unionByName(edges.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("scene_id", "a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
         large = both.where("b > a").join(low, ["scene_id", "a"]).select(
@@ -95,6 +96,7 @@ def components(adjacency: DataFrame, faces: DataFrame, max_rounds: int = 60) ->
                             .select("scene_id", F.col("_e.p").alias("a"), F.col("_e.q").alias("b"))
                             .where("a <> b").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("scene_id", "a", "b").cast("decimal(38,0)")).alias("h")).first()
+        drop_cut(last)  # the next round reads ``edges`` alone
         if before == state:
             break
         before = state
@@ -232,7 +234,10 @@ def taubin(vertices: DataFrame, edges: DataFrame, iterations: int = 3, shrink: f
     for step in range(iterations):
         factor = shrink if step % 2 == 0 else -grow
         other = out.select("scene_id", F.col("vid").alias("other"), *[F.col(a).alias(f"_{a}") for a in "xyz"])
-        mean = ways.join(other, ["scene_id", "other"]).groupBy("scene_id", "vid").agg(*[F.avg(f"_{a}").alias(f"_{a}") for a in "xyz"])
+        # Summed as whole trillionths, so the mean doesn't depend on the order of the neighbours.
+        whole = lambda a: F.round(F.col(f"_{a}") * 1e12).cast("decimal(38,0)")
+        mean = ways.join(other, ["scene_id", "other"]).groupBy("scene_id", "vid").agg(
+            *[(F.sum(whole(a)).cast("double") / F.count("*") / 1e12).alias(f"_{a}") for a in "xyz"])
         out = out.join(mean, ["scene_id", "vid"], "left").select(
             "scene_id", "vid", *[(F.col(a) + F.coalesce(F.col(f"_{a}") - F.col(a), F.lit(0.0)) * factor).alias(a) for a in "xyz"])
     return out
