@@ -24,16 +24,17 @@ def row_index(df: DataFrame, order: list[str], bucket: Column, by: list[str] | N
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float],
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, salts: int = 64) -> DataFrame:
     """Linear-interpolated quantiles per group.
 
     A bounded sketch first brackets each quantile (its rank error is at most rows/accuracy). The exact ranks are then
     searched among the distinct values inside the bracket only; rows below it are just counted. So a group of any
-    size costs one sketch, one count and a sort of about 20/accuracy of its rows.
+    size costs one sketch, one count and a sort of about 20/accuracy of its rows. The brackets meet the values once per
+    salt of the value, so a group that holds most rows is dealt over ``salts`` join tasks.
     """
     keys = by or ["_all"]
     base = df.where(F.col(value).isNotNull()) if by else df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(1))
-    base = base.select(*keys, F.col(value).cast("double").alias("_v"))
+    base = base.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)))
     slack = 10 / accuracy
     names = list(points)
     ends = [e for n in names for e in (max(0.0, points[n] - slack), min(1.0, points[n] + slack))]
@@ -44,7 +45,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str,
     spans = F.array(*[F.struct(F.lit(i).alias("q"), F.when(small, F.col("_least")).otherwise(F.col("_b")[2 * i]).alias("lo"),
                                F.when(small, F.col("_most")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"))
                       for i in range(len(names))])
-    cut = base.join(sketch.select(*keys, "_n", spans.alias("_spans")), keys) \
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    brackets = sketch.select(*keys, "_n", spans.alias("_spans")).withColumn("_salt", every)
+    cut = base.join(brackets, [*keys, "_salt"]) \
         .select(*keys, "_n", "_v", F.explode("_spans").alias("_s")) \
         .where(F.col("_v") <= F.col("_s.hi")) \
         .groupBy(*keys, "_n", F.col("_s.q").alias("_q"), F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("_v")) \
