@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +31,21 @@ def long_array(column: pa.Array) -> np.ndarray:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def in_pieces(batches: Iterator[pa.RecordBatch], max_rows: int) -> Iterator[pa.Table]:
-    """Batches of one partition, gathered into tables of at most about ``max_rows`` rows."""
-    held, rows = [], 0
+def in_pieces(batches: Iterator[pa.RecordBatch], max_rows: int, max_bytes: int = 8 << 20) -> Iterator[pa.Table]:
+    """Rows of one partition in tables of at most ``max_rows`` rows, each ended once its texts reach ``max_bytes``."""
+    held, rows, size = [], 0, 0
     for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= max_rows:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, rows = [], 0
+        texts = batch.column("text") if "text" in batch.schema.names else None
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) if texts is not None else np.zeros(batch.num_rows, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, before + max_bytes - size)) + 1, at + max_rows - rows, batch.num_rows)
+            held.append(batch.slice(at, to - at))
+            rows, size, at = rows + to - at, size + int(ends[to - 1]) - before, to
+            if rows >= max_rows or size >= max_bytes:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows, size = [], 0, 0
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -1,18 +1,23 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Shingle sets are put into size bands. Two sets of a band that are similar enough differ in at most k shingles, so if the
-feature domain is dealt into more than k / 2 parts, some part holds at most one difference; that part is dealt into three,
+feature domain is dealt into more than k / 2 parts, some part holds at most one difference; each part is dealt into three,
 and the three ways to leave one out are its signatures. Similar sets share at least one signature. Sets that share one
 are candidates, compared exactly.
 
+A signature without features would be shared by chance, so none is made: there are a few more parts than needed, and a set
+with more parts of that kind than spare ones is dealt again, by another hash, until it has fewer. Two similar sets meet in
+the last dealing of the one that is dealt less often: it has a good part whose signatures all have features.
+
 Equal sets are one class. A bucket of classes is first compared with one leader; when links join a bucket's classes into
-one component the bucket is settled, else more leaders, four times as many each round, meet the classes of other
+one component the bucket is settled, else more leaders, eight times as many each round, meet the classes of other
 components, until every pair across components has been compared. So a group of near copies costs about one comparison
 per class, and no link that could join two components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,10 +38,11 @@ _PARTS = 3  # second-level parts, of which one is left out
 
 @lru_cache
 def bands(percent: int, largest: int) -> tuple[tuple[int, int, int], ...]:
-    """(least size, largest size, most differences) of each band up to size ``largest``; a band spans three steps of the bound."""
+    """(least size, largest size, most differences) of each band up to size ``largest``; a band spans as many steps of the bound as stay below 1.6."""
+    steps = max(1, int(math.log(1.6) / math.log(100 / percent)))
     out, low = [], 1
     while not out or out[-1][1] < largest:
-        high = max(low, int(low * (100 / percent) ** 3))
+        high = max(low, int(low * (100 / percent) ** steps))
         out.append((low, high, 2 * high * (100 - percent) // (100 + percent)))
         low = high + 1
     return tuple(out)
@@ -80,47 +86,63 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         return total[cuts[1:]] - total[cuts[:-1]]
 
 
-def signatures(h: np.ndarray, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set index and signature, for the sets of shingle hashes between ``cuts``. Sets that admit no difference have none."""
+def signatures(h: np.ndarray, cuts: np.ndarray, percent: int, dealings: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Set index and signature, for the sets of shingle hashes between ``cuts``, in order of the sets within a band and dealing.
+
+    Sets that admit no difference have none. After ``dealings`` tries a set keeps its signatures without features too.
+    """
     sizes = np.diff(cuts)
-    if not len(sizes):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    table = np.array(bands(percent, int(sizes.max()) * 100 // percent + 1))
-    own = np.searchsorted(table[:, 1], sizes)
     out_set, out_signature = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    values = mix(h)
+    table = np.array(bands(percent, int(sizes.max(initial=1)) * 100 // percent + 1))
+    own = np.searchsorted(table[:, 1], sizes)
     for step in range(len(table)):  # a set also meets the larger sets of the bands above
-        band = own + step
-        inside = band < len(table)
-        band = np.minimum(band, len(table) - 1)
-        chosen = np.flatnonzero(inside & (100 * sizes >= percent * table[band, 0]))
+        band = np.minimum(own + step, len(table) - 1)
+        chosen = np.flatnonzero((own + step < len(table)) & (100 * sizes >= percent * table[band, 0]))
         if not len(chosen):
             break
-        k = table[band[chosen], 2]
-        chosen, k = chosen[k > 0], k[k > 0]
-        parts = k // 2 + 1
-        first_cell = np.concatenate(([0], np.cumsum(parts * _PARTS)))
-        rows = np.repeat(np.arange(len(chosen)), sizes[chosen])
-        within = np.arange(len(rows)) - np.repeat(np.concatenate(([0], np.cumsum(sizes[chosen])))[:-1], sizes[chosen])
-        feature = np.repeat(cuts[:-1][chosen], sizes[chosen]) + within
-        cell = (values[feature] >> np.uint64(16)) % (parts[rows] * _PARTS).astype(np.uint64)
-        cell = first_cell[rows] + cell.astype(np.int64)
-        # Halves of 32 bits add up exactly in doubles.
-        low = np.bincount(cell, (h[feature] & np.uint64(0xFFFFFFFF)).astype(float), first_cell[-1]).astype(np.uint64)
-        high = np.bincount(cell, (h[feature] >> np.uint64(32)).astype(float), first_cell[-1]).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            sums = (low + (high << np.uint64(32))).reshape(-1, _PARTS)
-            left = sums.sum(1, keepdims=True, dtype=np.uint64) - sums
-            part = np.arange(len(sums)) - np.repeat(first_cell[:-1] // _PARTS, parts)
-            tag = (np.repeat(band[chosen], parts) * (1 << 24) + part)[:, None] * _PARTS + np.arange(_PARTS)
-            out_signature.append(mix(left + mix(tag.astype(np.uint64) + np.uint64(1))).ravel())
-        out_set.append(np.repeat(np.repeat(chosen, parts), _PARTS))
+        chosen = chosen[table[band[chosen], 2] > 0]
+        for dealing in range(dealings):
+            if not len(chosen):
+                break
+            sets, found, again = _deal(h, cuts, chosen, band[chosen], table[band[chosen], 2], dealing, dealing == dealings - 1)
+            out_set.append(sets)
+            out_signature.append(found)
+            chosen = again
     return np.concatenate(out_set), np.concatenate(out_signature)
 
 
+def _deal(h: np.ndarray, cuts: np.ndarray, chosen: np.ndarray, band: np.ndarray, k: np.ndarray, dealing: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One dealing of the ``chosen`` sets: set index and signature of those with features, and the sets to deal again."""
+    sizes = np.diff(cuts)[chosen]
+    spare = 1 + (k // 2 + 1) // 8
+    parts = k // 2 + 1 + spare
+    first_cell = np.concatenate(([0], np.cumsum(parts * _PARTS)))
+    ends = np.cumsum(sizes)
+    rows = np.repeat(np.arange(len(chosen)), sizes)
+    feature = np.repeat(cuts[:-1][chosen], sizes) + np.arange(len(rows)) - np.repeat(ends - sizes, sizes)
+    own = h[feature]
+    cell = (mix(own ^ mix(np.full(1, dealing + 1, np.uint64))) >> np.uint64(16)) % (parts[rows] * _PARTS).astype(np.uint64)
+    cell = first_cell[rows] + cell.astype(np.int64)
+    count = np.bincount(cell, minlength=first_cell[-1]).reshape(-1, _PARTS)
+    # Halves of 32 bits add up exactly in doubles.
+    low = np.bincount(cell, (own & np.uint64(0xFFFFFFFF)).astype(float), first_cell[-1]).astype(np.uint64)
+    high = np.bincount(cell, (own >> np.uint64(32)).astype(float), first_cell[-1]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = (low + (high << np.uint64(32))).reshape(-1, _PARTS)
+        left = sums.sum(1, keepdims=True, dtype=np.uint64) - sums
+        part = np.arange(len(sums)) - np.repeat(first_cell[:-1] // _PARTS, parts)
+        tag = ((np.repeat(band, parts) * 64 + dealing) * (1 << 24) + part)[:, None] * _PARTS + np.arange(_PARTS)
+        found = mix(left + mix(tag.astype(np.uint64) + np.uint64(1)))
+    bare = count.sum(1, keepdims=True) == count
+    of_set = np.repeat(np.arange(len(chosen)), parts)
+    again = np.bincount(of_set, bare.any(1), len(chosen)) > spare
+    keep = ~bare | (last & again[of_set])[:, None]
+    return np.repeat(chosen[of_set], _PARTS)[keep.ravel()], found.ravel()[keep.ravel()], chosen[again]
+
+
 _SETS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32())])
 _SIGNED = pa.schema([("bucket", pa.int64()), ("home", pa.int64()), ("k1", pa.int64()), ("k2", pa.int32())])
-_ARRAYS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+_ARRAYS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 def _scan(words: int, percent: int, what: str, block_rows: int, crowd: int):
@@ -137,28 +159,28 @@ def _scan(words: int, percent: int, what: str, block_rows: int, crowd: int):
                                                   table["fp"].combine_chunks(), pa.array(n),
                                                   pa.array(k1), pa.array(k2)], schema=_SETS)
                 continue
+            if what == "arrays":  # of rows whose set is that of the class they were joined with
+                right = (k1 == long_array(table["want1"].combine_chunks())) & (k2 == table["want2"].to_numpy())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[right]))).astype(np.int32)), pa.array(h[right[doc]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([table["node"].combine_chunks().filter(pa.array(right)), lists], schema=_ARRAYS)
+                continue
             order = np.lexsort((k2, k1))
             new = np.ones(len(order), bool)
             new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
             single = np.sort(order[new & (n[order] > 0)])
-            if what == "arrays":
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[single]))).astype(np.int32)),
-                                                 pa.array(h[np.isin(doc, single)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(k1[single]), pa.array(k2[single]), lists], schema=_ARRAYS)
-                continue
             keep = np.isin(doc, single)
             at, signature = signatures(h[keep], np.concatenate(([0], np.cumsum(n[single]))), percent)
-            order = np.lexsort((at, signature))
-            at, signature = single[at[order]], signature[order]
+            by_set = np.argsort(at, kind="stable")  # a class's rows stay together, so its key packs well
+            at, signature = single[at[by_set]], signature[by_set]
             # A crowd inside this block is a bucket of its own; only its first class goes on to the bucket of all blocks.
-            new = np.ones(len(signature), bool)
-            new[1:] = signature[1:] != signature[:-1]
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.append(starts, len(signature)))
-            crowded = np.repeat(sizes >= crowd, sizes)
+            order = np.argsort(signature, kind="stable")
+            heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), signature[order][1:] != signature[order][:-1])))
+            sizes = np.diff(np.append(heads, len(order)))
+            crowded = np.zeros(len(order), bool)
+            crowded[order] = np.repeat(sizes >= crowd, sizes)
             with np.errstate(over="ignore"):
                 local = mix(signature + mix(np.full(1, base + piece + 1, np.uint64)))
-            heads = starts[sizes >= crowd]
+            heads = np.sort(order[heads[sizes >= crowd]])
             bucket = np.concatenate([np.where(crowded, local, signature), signature[heads]]).view(np.int64)
             home = pa.array(np.concatenate([signature, signature[heads]]).view(np.int64), mask=~np.concatenate([crowded, np.zeros(len(heads), bool)]))
             rows = np.concatenate([at, at[heads]])
@@ -174,7 +196,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     one = pairs.join(arrays.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = one.join(arrays.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+    return both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_rows: int = 20_000, crowd: int = 64) -> DataFrame:
@@ -184,7 +206,7 @@ def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_row
     without words (null too) has none and links with nothing. Sets link when 100 * shared >= ``percent`` * union.
     ``component_id`` is the smallest doc_id reachable; null ids are rows like any other and give way to known ones; equal
     rows are linked. ``first`` marks, in each component, one row that stands for it: one that holds component_id.
-    ``block_rows`` bounds what a task holds; ``crowd`` is the size from which a block settles a bucket by itself.
+    ``block_rows``, and 8 MB of text, bound what a task holds at once; ``crowd`` is the size from which a block settles a bucket by itself.
     Shingles are compared by 64-bit hashes, classes by 96 bits.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("fp", F.xxhash64("text"))
@@ -197,23 +219,24 @@ def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_row
     spot = Window.partitionBy("bucket")
     shared = (signed.repartition("bucket").dropDuplicates(["bucket", "k1", "k2"])
               .withColumns({"least": F.min(F.struct("k1", "k2")).over(spot), "most": F.max(F.struct("k1", "k2")).over(spot)})
-              .filter("least != most").select("bucket", F.coalesce("home", "bucket").alias("home"), "k1", "k2", "least"))
+              .filter("least != most").select(F.coalesce("home", "bucket").alias("home"), "k1", "k2"))
     shared = cut_lineage(shared)
-    keys = classes.select("k1", "k2", "node")
-    leaders = keys.select(F.struct("k1", "k2").alias("least"), F.col("node").alias("leader"))
-    buckets = cut_lineage(shared.join(keys, ["k1", "k2"]).join(leaders, "least").select("home", "node", "leader"))
+    buckets = cut_lineage(shared.join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("home", "node").distinct())
+    # The class that meets most others leads its buckets: in a group of near copies, one close to them all.
+    sizes = cut_lineage(buckets.groupBy("home").agg(F.count("*").alias("size")))
+    degrees = cut_lineage(buckets.join(sizes, "home").groupBy("node").agg(F.sum("size").alias("degree")))
+    leads = cut_lineage(buckets.join(degrees, "node").groupBy("home").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")))
 
     involved = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", "first_id")
-    ids = involved.select(F.col("first_id").alias("wanted")).distinct()
-    chosen = text.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    arrays = cut_lineage(scan("arrays", chosen, "k1 long, k2 int, shingles array<bigint>").join(involved.select("node", "k1", "k2"), ["k1", "k2"])
-                         .dropDuplicates(["node"]).select("node", "shingles"))
+    wanted = involved.select("node", F.col("k1").alias("want1"), F.col("k2").alias("want2"), F.col("first_id").alias("wanted"))
+    chosen = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node", "want1", "want2")
+    arrays = cut_lineage(scan("arrays", chosen, "node long, shingles array<bigint>"))  # repeated rows give a set twice, which does no harm
 
-    pairs = buckets.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).filter("a < b").distinct()
+    pairs = buckets.join(leads, "home").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).filter("a < b").distinct()
     links = cut_lineage(_verified(pairs, arrays, percent))
     roots = cut_lineage(components(links))
-    members = cut_lineage(buckets.select("home", "node").distinct())
-    leaders_now = 4
+    members = buckets
+    leaders_before, leaders_now = 0, 4
     while True:
         placed = members.join(roots, "node", "left").select("home", "node", F.coalesce("root", "node").alias("root"))
         open_ = cut_lineage(placed.groupBy("home").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -223,16 +246,18 @@ def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_row
             break
         placed = cut_lineage(placed.join(open_, "home"))
         order = F.pmod(F.xxhash64("node", "home"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        first = placed.filter(order * F.col("size") < leaders_now)
+        first = placed.filter((order * F.col("size") < leaders_now) & (order * F.col("size") >= leaders_before))
         pairs = (first.select("home", F.col("node").alias("x"), F.col("root").alias("rx"))
                  .join(placed.select("home", F.col("node").alias("y"), F.col("root").alias("ry")), "home").filter("rx != ry")
                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        links = cut_lineage(links.unionByName(_verified(pairs, arrays, percent)))
-        roots = cut_lineage(components(links))
+        fresh = cut_lineage(_verified(pairs, arrays, percent))
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            roots = cut_lineage(components(links))
         if leaders_now >= largest:
             break
         members = cut_lineage(placed.select("home", "node"))
-        leaders_now *= 4
+        leaders_before, leaders_now = leaders_now, leaders_now * 8
 
     grouped = classes.join(roots, "node", "left").select("k1", "k2", "n", "first_id", F.coalesce("root", "node").alias("root"))
     grouped = cut_lineage(grouped)

@@ -33,7 +33,7 @@ def groups(rows, n=3, percent=90):
     return sorted((i, len(s), least[find(x)] if s else i) for x, (i, s) in enumerate(sets))
 
 
-@settings(deadline=None, max_examples=150)
+@settings(deadline=None, max_examples=400)
 @given(st.integers(1, 60), st.integers(0, 14), st.integers(0, 14), st.sampled_from((90, 80)), st.integers(0, 99))
 def test_similar_sets_share_a_signature(shared, more, other, percent, seed):
     rng = np.random.default_rng(seed)
