@@ -78,13 +78,10 @@ def test_groups_against_all_pairs(spark):
     random.Random(4).shuffle(texts)
     rows = list(enumerate(texts))
     docs = documents(spark, texts, 4)
-    for options in ({}, {"block_rows": 10, "crowd": 3}):
-        got = similar_groups(docs, **options).collect()
-        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
-        assert sum(r["first"] for r in got) == len({r.component_id for r in got})
-    loose = similar_groups(docs, words=5, percent=80).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in loose) == groups(rows, 5, 80)
-    kept = keep_one(docs)
+    got = similar_groups(docs, block_rows=10, crowd=3).collect()  # small blocks, so that crowds settle in several
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
+    assert sum(r["first"] for r in got) == len({r.component_id for r in got})
+    kept = keep_one(docs)  # five words, 0.8
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in groups(rows, 5, 80)}) and kept.columns == docs.columns
 
 
