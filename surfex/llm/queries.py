@@ -80,10 +80,10 @@ def _license_oracle() -> str:
 WITH pieces AS (SELECT doc_id, row_number() OVER () AS id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
     '([.!?:;])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), '\n[ \t\n\x0b\f\r]*\n', chr(1), 'g'), '\n([ \t]*([0-9]+\.|[*-]) |[A-Z][a-z])', chr(1) || '\1', 'g'), chr(1)) AS parts
   FROM documents),
-plain AS (SELECT doc_id, list_transform(parts, s -> trim(regexp_replace(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+plain AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '^[ \t\n\x0b\f\r]*([0-9]+\.|[*-])[ \t\n\x0b\f\r]', ''), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM pieces),
-known AS (SELECT doc_id, list_filter(list_transform(parts, s -> {names}[s]), x -> x IS NOT NULL) AS ids FROM plain),
-text AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, x -> ',' || x || ','), 'string_agg', '') AS joined FROM known)
+known AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: {names}[s]), lambda x: x IS NOT NULL) AS ids FROM plain),
+text AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: ',' || x || ','), 'string_agg', '') AS joined FROM known)
 SELECT doc_id, len(ids) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS sentence_ids,
   coalesce(list_aggregate(list_sort(list_distinct([{cases}])), 'string_agg', ','), '') AS licences FROM text"""
 
