@@ -31,7 +31,8 @@ _NEVER = 1 << 60
 _RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LETTERS, _NUMBERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _SIMPLE = re.compile("[\t\n\r -~\u00a1-\u00ff]*")
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+# No letter starts another branch, so runs of letters, the most frequent, may be tried first.
+_WORDS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 _MODELS: dict[int, WordBpe] = {}
 
 
@@ -41,7 +42,7 @@ class WordBpe:
     Normalising and cutting into words follow the file's own rules; twice ``kept`` bounds the words whose ids are remembered.
     """
 
-    def __init__(self, text: str, kept: int = 120_000):
+    def __init__(self, text: str, kept: int = 250_000):
         parts = json.loads(text)
         model, suffix = parts["model"], parts["model"].get("end_of_word_suffix")
         if model["type"] != "BPE" or not suffix or parts["decoder"] is not None:
@@ -108,10 +109,28 @@ class WordBpe:
         return min((r for x, x_ends in self._edge(a, 1) for y, y_ends in left if (r := self.rank.get((x, y), _NEVER)) < x_ends and r <= y_ends), default=_NEVER)
 
     def _compatible(self, a: int, b: int) -> bool:
+        """Whether ``a`` followed by ``b`` stays as it is; remembered for the pair."""
+        tree, rank = self.tree, self.rank
+        stays, left, y, y_ends = True, [], b, _NEVER
+        while True:
+            left.append((y, y_ends))
+            if y not in tree:
+                break
+            y, _, y_ends = tree[y]
+        x, x_ends = a, _NEVER
+        while stays:
+            for y, y_ends in left:
+                r = rank.get((x, y))
+                if r is not None and r < x_ends and r <= y_ends:
+                    stays = False
+                    break
+            if x not in tree:
+                break
+            _, x, x_ends = tree[x]
         if len(self.pairs) >= 400_000:
             self.pairs.clear()
-        known = self.pairs[a << 20 | b] = self._first(a, b) == _NEVER
-        return known
+        self.pairs[a << 20 | b] = stays
+        return stays
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words of the byte-level alphabet, none empty; one pass of the automaton over all of them."""
@@ -238,7 +257,8 @@ def decode(df: DataFrame, path: str, ids: Column | None = None) -> DataFrame:
     model = _sent(df, path)
 
     def run(lists: pa.Array) -> pa.Array:
-        bpe = model()
-        return pa.array([bpe.decode(i.as_py()) for i in lists], pa.string())
+        bpe, offsets = model(), lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()
+        return pa.array([bpe.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
 
     return df.withColumn("decoded", F.arrow_udf(run, "string")(F.col("ids") if ids is None else ids))
