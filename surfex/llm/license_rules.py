@@ -1,8 +1,10 @@
 """License scans by recognised sentences.
 
-A text is cut into sentences, each is normalised and mapped to the identifier of a known licence sentence, and the
-sequence of identifiers is matched against rules that ask for certain identifiers in a certain order. Text between the
-sentences of a rule doesn't matter. DataFrame functions only; the tables below are small and fixed.
+A text is cut into pieces, each is normalised, and runs of whole pieces that make up a known licence sentence are mapped
+to its identifier; the sequence of identifiers is matched against rules that ask for certain identifiers in a certain
+order. A stop, a line wrapped before a capital or a comment prefix inside a sentence is a cut like any other, so a notice
+is found plain, wrapped or commented. Text between the sentences of a rule doesn't matter. DataFrame functions only; the
+tables below are small and fixed.
 """
 
 from __future__ import annotations
@@ -50,12 +52,19 @@ RULES = (
 )
 #: A sentence ends after a stop and white space, at an empty line, or before a line that begins a new one.
 _ENDS = ((r"([.!?:;])\s+", "$1\x01"), (r"\n\s*\n", "\x01"), (r"\n([ \t]*(\d+\.|[*-]) |[A-Z][a-z])", "\x01$1"))
+#: Comments end a sentence too: the last line of a block of line comments, an opening or closing mark, a comment line that holds
+#: nothing else, and the line before one that begins a new sentence.
+_LINE = r"(?://+!?|#+|--+|%+)"
+_MARK = rf"(?:{_LINE}|/\*+|\*+/?)"
+_LAST = ((rf"(?<=\n|^)([ \t]*{_LINE}[ \t][^\n]*)\n(?![ \t]*{_LINE})", "$1\x01\n"),)
+_COMMENTS = ((r"<!--|/\*|\*/|-->", "\x01$0"), (rf"(?<=[\n\x01])[ \t]*{_MARK}[ \t\r]*(?=[\n\x01])", "\x01"),
+             (rf"(?<=[\n\x01])[ \t]*{_MARK}[ \t]+(?=(?:\d+\.|[*-]) |[A-Z][a-z])", "\x01"))
 #: Every known sentence holds one of these words, so other texts have none.
 _HINT = "(?i)licen[sc]e|permi|redistribution|warrant|endorse"
 
 
 def _sentences(text: Column) -> Column:
-    for pattern, mark in _ENDS:
+    for pattern, mark in _LAST + _ENDS + _COMMENTS:
         text = F.regexp_replace(text, pattern, mark)
     return F.split(text, "\x01")
 
@@ -66,6 +75,11 @@ def _normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+def _pattern(sentences: dict[str, str]) -> str:
+    """Any known sentence from the start of a piece to the end of one; a sentence of fewer words goes before one that it begins."""
+    return "(?<=\x01)(?:" + "|".join(s.replace(" ", "[ \x01]") for s in sorted(sentences.values(), key=len)) + ")(?=\x01)"
+
+
 def recognise(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """One row per row of ``docs``: doc_id, sentences array<string>, licences array<string>.
 
@@ -74,10 +88,11 @@ def recognise(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULE
     and empty texts. Null and repeated ids are rows like any other.
     """
     known = F.create_map(*(F.lit(x) for name, text in sentences.items() for x in (text, name)))
-    normal = F.transform(_sentences(F.col("_text")), _normal)
+    pieces = F.filter(F.transform(_sentences(F.col("_text")), _normal), lambda s: s != "")
+    joined = F.concat(F.lit("\x01"), F.array_join(pieces, "\x01"), F.lit("\x01"))
+    found = F.transform(F.regexp_extract_all(joined, F.lit(_pattern(sentences)), F.lit(0)), lambda s: F.translate(s, "\x01", " "))
     out = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
-           .withColumn("_normal", F.when(F.col("_text").rlike(_HINT), normal))
-           .withColumn("_known", F.filter("_normal", lambda s: s.isin(*sentences.values())))
+           .withColumn("_known", F.when(F.col("_text").rlike(_HINT), found))
            .withColumn("sentences", F.coalesce(F.transform("_known", lambda s: known[s]), F.array().cast("array<string>"))))
 
     def met(rule: tuple[str, ...]) -> Column:

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from helpers import documents
 
@@ -76,3 +77,46 @@ def test_whole_table(spark):
     for r in rows:
         own = sentences(texts[r.doc_id])
         assert (r.n_sentences, r.sentence_ids, r.licences) == (len(own), ",".join(own), ",".join(licences(own)))
+
+
+AS_IS_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+GPL = """This program is free software{}you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{}either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program; if not, see <https://www.gnu.org/licenses/>."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+FULL = [("MIT", MIT), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License"), ("ISC", ISC), ("Apache-2.0", APACHE),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("BSD-2-Clause", BSD + "\n" + AS_IS_BSD), ("BSD-3-Clause", BSD + NAMES + "\n" + AS_IS_BSD),
+        ("GPL-2.0", "This work is licensed under the GNU General Public License version 2."), ("GPL-3.0", "This work is licensed under the GNU General Public License version 3."),
+        ("GPL-2.0-or-later", GPL.format("; ", "; ", 2)), ("GPL-3.0-or-later", GPL.format(": ", ", ", 3)), ("MPL-2.0", MPL),
+        ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.")]
+
+
+def test_public_texts_plain_wrapped_and_commented(spark):
+    assert {n for n, _ in FULL} == {n for n, _ in RULES}
+    texts = []
+    for name, text in FULL:
+        texts.append((name, f"Copyright (c) 2020 Someone\n\n{text}\n\ncode"))
+        blocks = [" ".join(b.split()) for b in re.split(r"\n\s*\n|\n(?=\d\.)", text)]
+        for width in (24, 40, 57, 72, 79, 1000):
+            lines = "\n\n".join(textwrap.fill(b, width, break_long_words=False, break_on_hyphens=False) for b in blocks).split("\n")
+            texts.append((name, "Copyright (c) 2020 Someone\n\n" + "\n".join(lines) + "\n\ncode"))
+            for head, mark, end in (("import x\n\n", "#", "\n\ny = 1"), ("package x\n", "//", "\n\nfunc"), ("/*\n", " *", "\n */\nint x"), ("/* Copyright (c) Someone\n *\n", " *", " */\nint x"), ("", "--", "\nselect x")):
+                texts.append((name, head + "\n".join(f"{mark} {line}".rstrip() for line in lines) + end))
+                texts.append((name, (head + "\n".join(f"{mark} {line}".rstrip() for line in lines) + end).replace("\n", "\r\n")))
+    found = {r.doc_id: r.licences for r in recognise(documents(spark, [t for _, t in texts])).collect()}
+    assert not [(n, found[i], t) for i, (n, t) in enumerate(texts) if found[i] != [n]]
+
+
+def test_words_around_a_notice_are_not_part_of_it(spark):
+    texts = ["# it is not\n# released under the MIT License\n# at all", "This is not licensed under the MIT License", "// Licensed under the MIT License\n// or another", APACHE.replace("express", "clear")]
+    assert [r.licences for r in recognise(documents(spark, texts)).sort("doc_id").collect()] == [[]] * 4
