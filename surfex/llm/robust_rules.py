@@ -23,7 +23,10 @@ from .common import text_pieces, utf8, whole_text, word_grams, word_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Least standard deviation of each statistic: mean word length (log), symbols, repeated lines, repeated words (log of 1 + per cent of words).
-FLOORS = (0.15, 0.5, 1.0, 1.0)
+#: Most rows of a group hold no symbols or repeats, so the floor is all their spread: one count in a document of 264 words, the median of
+#: sf0.1, for symbols and lines; repeated words, at most 30 per cent here, are an outlier from 20 per cent on. Times sqrt(chi_limit(1e-6)),
+#: 5.8, every floor is below its statistic's range, so each can pass the limit alone.
+FLOORS = (0.1, 0.32, 0.32, 0.52)
 _DIM = len(FLOORS)
 _BIN = 16  # distance bins per doubling
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))

@@ -79,3 +79,24 @@ def test_odd_rows(spark):
     rows = apply_rules(documents(spark, [None, "", (None, "a " * 10), (4, "b " * 400), (4, "b " * 400), "e f g h"] + [" ".join(f"w{i}{j}" for j in range(30)) for i in range(5)])).collect()
     assert len(rows) == 11 and sum(r.kept for r in rows) == 5
     assert apply_rules(documents(spark, [])).count() == 0
+
+
+def test_each_statistic_alone_rejects(spark):
+    def prose(name, n=400, size=5):
+        return [f"{name}{k:03d}".ljust(size - 2 + k % 5, "q")[:size + 2] + f"{k:03d}"[k % 2:] for k in range(n)]
+
+    def lines(w, at=0, width=10):
+        return "\n".join([" ".join(w[:at])] * (at > 0) + [" ".join(w[i:i + width]) for i in range(at, len(w), width)])
+
+    plain = [lines(prose(f"{chr(97 + i // 10)}{i % 10}")) for i in range(90)]
+    long = lines([w * 2 for w in prose("zl")])
+    symbols = lines([w + "#" * (k % 10 == 0) for k, w in enumerate(prose("zs"))])
+    w = prose("zr", 280)
+    repeated_lines = "\n".join(f"{' '.join(w[i:i + 7])}\nthese three words" for i in range(0, 280, 7))
+    w = prose("zw", 350)
+    repeated_words = lines(w[:200]) + "\n" + lines(w[50:100] + w[200:], at=3)
+    rows = sorted(apply_rules(documents(spark, [*plain, long, symbols, repeated_lines, repeated_words])).collect(), key=lambda r: r.doc_id)
+    assert all(r.kept for r in rows[:90]) and not any(r.base_failed for r in rows)
+    ratio = np.array([[r.word_chars / r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words] for r in rows])
+    assert (ratio[90:, 1:] > 0).tolist() == [[False] * 3, [True, False, False], [False, True, False], [False, False, True]]
+    assert [r.kept for r in rows[90:]] == [False] * 4
