@@ -157,12 +157,12 @@ def _face_colors(t):
 
 @query("r3_diffuse_fill", f"WITH {_fill_sql(6)} SELECT scene_id, fid, step FROM filled")
 def _(t):
-    return X.diffuse_fill(_face_colors(t), H.face_adjacency(t.faces), 6).select("scene_id", "fid", "step")
+    return X.diffuse_fill(_face_colors(t), H.face_adjacency(t.faces)).select("scene_id", "fid", "step")
 
 
 @query("r3_fill_colors", f"WITH {_fill_sql(3)} SELECT scene_id, count(*) FILTER (step > 0) AS filled, count(*) FILTER (step < 0) AS unreached, round(avg(r), 0)::INT AS r FROM filled GROUP BY 1")
 def _(t):
-    out = X.diffuse_fill(_face_colors(t), H.face_adjacency(t.faces), 3)
+    out = X.diffuse_fill(_face_colors(t), H.face_adjacency(t.faces))
     return out.groupBy("scene_id").agg(F.count_if(F.col("step") > 0).alias("filled"), F.count_if(F.col("step") < 0).alias("unreached"), F.round(F.avg("r"), 0).cast("int").alias("r"))
 
 
