@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, differencing, exact_dedup, license_rules, partenum_join, phrase_automata, prefix_bpe, quality_trees, robust_rules, secret_scan
+from . import best_fit, differencing, exact_dedup, license_rules, line_hash, partenum_join, phrase_automata, prefix_bpe, quality_trees, robust_rules, secret_scan
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -108,3 +108,17 @@ def _(table):
 @query("op3_phrase_automata")
 def _(table):
     return phrase_automata.remove_repeats(table("documents"))
+
+
+@query("op12_line_hash", r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  cut AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
+  keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM cut),
+  often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(often.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN often USING (key) GROUP BY r""")
+def _(table):
+    done = line_hash.dedup_lines(table("documents"), min_documents=10, min_chars=1)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
