@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, differencing, exact_dedup, license_rules, line_hash, partenum_join, phrase_automata, prefix_bpe, quality_trees, robust_rules, secret_scan
+from . import best_fit, differencing, exact_dedup, four_russians, license_rules, line_hash, partenum_join, phrase_automata, prefix_bpe, quality_trees, robust_rules, secret_scan
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -122,3 +122,22 @@ FROM keyed LEFT JOIN often USING (key) GROUP BY r""")
 def _(table):
     done = line_hash.dedup_lines(table("documents"), min_documents=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_four_russians", """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_inner_product(a.vector, c.vector)::BIGINT AS score
+  FROM rows a JOIN rows c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+  positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER pair)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW pair AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER pair <= 5""")
+def _(table):
+    rows = four_russians.quantise(table("embeddings"), 256)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return four_russians.mine(rows.withColumn("label", moved), every=100, positives=5, negatives=5, low=80, high=100)
