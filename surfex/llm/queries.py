@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, differencing, exact_dedup, four_russians, license_rules, line_hash, partenum_join, phrase_automata, prefix_bpe, quality_trees, robust_rules, secret_scan
+from . import best_fit, differencing, exact_dedup, four_russians, license_rules, line_hash, partenum_join, phrase_automata, prefix_bpe, q_chunks, quality_trees, robust_rules, secret_scan
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -141,3 +141,8 @@ def _(table):
     rows = four_russians.quantise(table("embeddings"), 256)
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return four_russians.mine(rows.withColumn("label", moved), every=100, positives=5, negatives=5, low=80, high=100)
+
+
+@query("op11_q_chunks")
+def _(table):
+    return q_chunks.group_variants(q_chunks.count_words(table("documents"), min_length=6, min_count=5, modulus=199), ratio=5)
