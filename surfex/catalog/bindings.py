@@ -77,6 +77,8 @@ bind("pixels_b", """
 SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_suppkey % 5 AS INT) AS view_id,
   CAST(l_partkey % 40 AS INT) AS x, CAST(l_orderkey % 30 AS INT) AS y,
   sum(CAST(l_quantity AS BIGINT)) * 5e0 / count(*) AS r,
+  sum(CAST(round(l_discount * 100) AS BIGINT)) * 255e-1 / count(*) AS g,
+  sum(CAST(round(l_tax * 100) AS BIGINT)) * 31875e-3 / count(*) AS b,
   sum(CAST(l_quantity AS BIGINT)) % 3 <> 0 AS mask
 FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2, 3, 4""")
 
@@ -133,13 +135,18 @@ SELECT scene_id, fid, v0, v1, v2, completion,
   (x0 * 25e0 + 245e-1) / 49e0 AS ua, (y0 * 8e0 + 5e0) / 10e0 AS va, (x1 * 25e0 + 245e-1) / 49e0 AS ub,
   (y1 * 8e0 + 5e0) / 10e0 AS vb, (x2 * 25e0 + 245e-1) / 49e0 AS uc, (y2 * 8e0 + 5e0) / 10e0 AS vc FROM corners""")
 
-# Points for votes: first lines of an order.
+# Points for votes: one per order line.
 bind("points", """
 SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_suppkey % 5 AS INT) AS view_id,
-  l_orderkey * 100000 + l_partkey AS point_id, max((l_quantity - 255e-1) / 25e0) AS x,
-  max((round(l_discount * 100) - 5e0) / 8e0) AS y, max((round(l_extendedprice * 100) / 1e7 - 5e-1) / 713e-2) AS z,
-  max(CAST(l_quantity AS INT) * 5) AS r
-FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3""")
+  l_orderkey * 10 + l_linenumber AS point_id, (l_quantity - 255e-1) / 25e0 AS x,
+  (round(l_discount * 100) - 5e0) / 8e0 AS y, (round(l_extendedprice * 100) / 1e7 - 5e-1) / 713e-2 AS z,
+  CAST(l_quantity AS INT) * 5 AS r
+FROM lineitem""")
+
+# Silhouettes with large empty areas: the masked pixels of a disc that moves with the view.
+bind("silhouettes", """
+SELECT scene_id, view_id, x, y FROM pixels
+WHERE mask AND (x - 6 - 5 * view_id) * (x - 6 - 5 * view_id) + (y - 12) * (y - 12) < 64""")
 
 # Matches between neighbouring views, and review boxes.
 bind("matches", """

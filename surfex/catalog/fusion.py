@@ -14,7 +14,7 @@ from .text import camera, pixel, r6
 RES = 18
 
 # Cloud of every scene for votes; depth grids with a plain silhouette distance column.
-bind("cloud", "SELECT scene_id, view_id, point_id * 10 + view_id AS point_id, x, y, z FROM points")
+bind("cloud", "SELECT scene_id, view_id, point_id, x, y, z FROM points")
 bind("grids", "SELECT scene_id, view_id, x, y, depth, confidence, mask, CASE WHEN mask THEN -confidence ELSE confidence END AS signed FROM pixels")
 bind("photo_cameras", "SELECT scene_id, view_id, ext, k, w, h, CAST(2 AS INT) AS left, CAST(1 AS INT) AS top, CAST(36 AS INT) AS w_photo, CAST(28 AS INT) AS h_photo FROM cameras".replace("left,", "pad_left,").replace("top,", "pad_top,"))
 

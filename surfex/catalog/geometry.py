@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matrices as M
 from ..operators import gather as G
+from ..operators import grids as R
 from ..operators import mesh as H
 from . import bindings  # noqa: F401
 from .registry import query
@@ -169,39 +170,68 @@ BOX = "(SELECT unnest(generate_series(-2, 2)) AS dx) a, (SELECT unnest(generate_
 
 @query("j14_dilate", f"WITH {MASK} SELECT DISTINCT scene_id, view_id, (x+dx)::INT AS x, (y+dy)::INT AS y FROM m, {BOX} WHERE x+dx BETWEEN 0 AND 39 AND y+dy BETWEEN 0 AND 29")
 def _(t):
-    return G.clip_to_frame(G.dilate_box(t.pixels.where("mask"), 2), t.cameras)
+    return R.dilate(t.pixels.where("mask"), t.cameras, R.box, 2)
 
 
 @query("j14_close", f"""WITH {MASK}, d AS (SELECT DISTINCT scene_id, view_id, x+dx AS x, y+dy AS y FROM m, (SELECT unnest(generate_series(-1, 1)) AS dx) a, (SELECT unnest(generate_series(-1, 1)) AS dy) b WHERE x+dx BETWEEN 0 AND 39 AND y+dy BETWEEN 0 AND 29),
 n AS (SELECT scene_id, view_id, x+dx AS x, y+dy AS y, count(*) AS n FROM d, (SELECT unnest(generate_series(-1, 1)) AS dx) a, (SELECT unnest(generate_series(-1, 1)) AS dy) b WHERE x+dx BETWEEN 0 AND 39 AND y+dy BETWEEN 0 AND 29 GROUP BY 1,2,3,4)
 SELECT scene_id, view_id, x::INT AS x, y::INT AS y FROM n WHERE n = (CASE WHEN x IN (0,39) THEN 2 ELSE 3 END) * (CASE WHEN y IN (0,29) THEN 2 ELSE 3 END)""")
 def _(t):
-    return G.close_box(t.pixels.where("mask"), 1, t.cameras)
+    return R.close(t.pixels.where("mask"), t.cameras, R.box, 1)
 
 
-_TO_OTHER = """near AS (SELECT p.scene_id, p.view_id, p.x, p.y, p.inside, min((p.x-q.x)*(p.x-q.x)) AS dx FROM k p JOIN k q
-  ON (p.scene_id*5+p.view_id)*30+p.y = (q.scene_id*5+q.view_id)*30+q.y AND p.inside <> q.inside GROUP BY ALL)"""
+DISC = "disc AS (SELECT dy, unnest(generate_series(-s, s)) AS dx FROM (SELECT dy, round_even(sqrt({r}*{r}-dy*dy), 0)::INT AS s FROM (SELECT unnest(generate_series(-{r}, {r})) AS dy)))"
 
 
-@query("j14_signed_distance", f"""WITH {MASK}, f AS (SELECT scene_id, view_id, x, y FROM cameras, (SELECT unnest(generate_series(0, 39)) AS x) a, (SELECT unnest(generate_series(0, 29)) AS y) b),
-k AS MATERIALIZED (SELECT f.*, m.x IS NOT NULL AS inside FROM f LEFT JOIN m ON ((f.scene_id*5+f.view_id)*30+f.y)*40+f.x = ((m.scene_id*5+m.view_id)*30+m.y)*40+m.x),
-{_TO_OTHER},
-side AS MATERIALIZED (SELECT scene_id, view_id, x, y, NOT inside AS inside, 0 AS dx FROM k UNION ALL SELECT scene_id, view_id, x, y, inside, dx FROM near),
-n AS (SELECT p.scene_id, p.view_id, p.x, p.y, sqrt(min(q.dx + (p.y-q.y)*(p.y-q.y))) AS d FROM k p JOIN side q
-  ON ((p.scene_id*5+p.view_id)*40+p.x)*2+p.inside::INT = ((q.scene_id*5+q.view_id)*40+q.x)*2+q.inside::INT GROUP BY ALL)
-SELECT k.scene_id, k.view_id, k.x::INT AS x, k.y::INT AS y, {r6('CASE WHEN k.inside THEN -least(coalesce(d, 4), 4) ELSE least(coalesce(d, 4), 4) END', 'signed')}
-FROM k LEFT JOIN n ON ((k.scene_id*5+k.view_id)*30+k.y)*40+k.x = ((n.scene_id*5+n.view_id)*30+n.y)*40+n.x""")
+@query("j14_disc_dilate", f"WITH {DISC.format(r=6)} SELECT DISTINCT scene_id, view_id, (x+dx)::INT AS x, (y+dy)::INT AS y FROM silhouettes, disc WHERE x+dx BETWEEN 0 AND 39 AND y+dy BETWEEN 0 AND 29")
 def _(t):
-    return G.signed_mask_distance(t.pixels.where("mask"), t.cameras, 4).select("scene_id", "view_id", "x", "y", rounded(F.col("signed"), "signed"))
+    return R.dilate(t.silhouettes, t.cameras, R.ellipse, 6)
 
 
-@query("g26_masked_blur", f"""WITH p AS (SELECT *, r*0.2126+g*0.7152+b*0.0722 AS l FROM pixels WHERE mask), o AS (SELECT unnest(generate_series(-6, 6)) AS d), w AS (SELECT d, exp(-(d*d)/8.0::DOUBLE) AS w FROM o),
-hx AS (SELECT scene_id, view_id, x+d AS x, y, sum(w*l) AS l, sum(w) AS m FROM p, w GROUP BY 1,2,3,4), hy AS (SELECT scene_id, view_id, x, y+d AS y, sum(w*l) AS l, sum(w*m) AS m FROM hx, w GROUP BY 1,2,3,4),
-z AS (SELECT sum(w)*sum(w) AS z FROM w) SELECT scene_id, view_id, x::INT AS x, y::INT AS y, {r6('l/z/greatest(m/z, 1e-5)', 'blur')} FROM hy, z WHERE m/z > 0.01""")
+@query("j14_disc_erode", f"""WITH {DISC.format(r=2)}, room AS (SELECT x, y, count(*) AS n FROM (SELECT unnest(generate_series(0, 39)) AS x) a, (SELECT unnest(generate_series(0, 29)) AS y) b, disc WHERE x+dx BETWEEN 0 AND 39 AND y+dy BETWEEN 0 AND 29 GROUP BY 1, 2),
+held AS (SELECT *, greatest(r, 51) AS level FROM pixels), seen AS (SELECT scene_id, view_id, x+dx AS x, y+dy AS y, count(*) AS n, min(level) AS level FROM held, disc WHERE x+dx BETWEEN 0 AND 39 AND y+dy BETWEEN 0 AND 29 GROUP BY 1,2,3,4)
+SELECT scene_id, view_id, s.x::INT AS x, s.y::INT AS y, level FROM seen s JOIN room ON s.y*40+s.x = room.y*40+room.x WHERE s.n = room.n""")
+def _(t):
+    return R.morph(t.pixels.withColumn("level", F.greatest("r", F.lit(51))), t.cameras, ("shrink",), R.ellipse, 2)
+
+
+@query("j14_signed_distance", f"""WITH f AS (SELECT (scene_id*5+view_id)*1200 AS base, unnest(generate_series(0, 1199)) AS place FROM cameras), m AS MATERIALIZED (SELECT (scene_id*5+view_id)*1200+y*40+x AS key FROM silhouettes),
+k AS MATERIALIZED (SELECT base + place AS key, (base + place) // 40 AS line, place % 40 AS x, place // 40 AS y, m.key IS NOT NULL AS inside FROM f LEFT JOIN m ON base + place = m.key),
+near AS (SELECT p.key, min((p.x-q.x)*(p.x-q.x)) AS dx FROM k p JOIN k q ON p.line*2+p.inside::INT = q.line*2+(NOT q.inside)::INT GROUP BY 1),
+side AS MATERIALIZED (SELECT key, NOT inside AS inside, x, y, 0 AS dx FROM k UNION ALL SELECT k.key, inside, x, y, dx FROM k JOIN near ON k.key = near.key),
+n AS (SELECT p.key, sqrt(min(q.dx + (p.y-q.y)*(p.y-q.y))) AS d FROM k p JOIN side q ON ((p.key//1200)*40+p.x)*2+p.inside::INT = ((q.key//1200)*40+q.x)*2+q.inside::INT GROUP BY 1)
+SELECT k.key // 6000 AS scene_id, (k.key // 1200 % 5)::INT AS view_id, k.x::INT AS x, k.y::INT AS y, {r6('CASE WHEN k.inside THEN -coalesce(d, 50) ELSE coalesce(d, 50) END', 'signed')}
+FROM k LEFT JOIN n ON k.key = n.key""")
+def _(t):
+    return R.signed_distance(t.silhouettes, t.cameras).select("scene_id", "view_id", "x", "y", rounded(F.col("signed"), "signed"))
+
+
+@query("j14_nearest_cell", f"""WITH f AS (SELECT scene_id, view_id, unnest(generate_series(0, 39)) AS x FROM cameras), e AS MATERIALIZED (SELECT scene_id, view_id, x, unnest(generate_series(0, 29)) AS y FROM f),
+row AS MATERIALIZED (SELECT e.scene_id, e.view_id, e.x, e.y, min({{'sq': (s.x-e.x)*(s.x-e.x), 'x': s.x}}) AS b FROM e JOIN silhouettes s ON (e.scene_id*5+e.view_id)*30+e.y = (s.scene_id*5+s.view_id)*30+s.y GROUP BY ALL),
+best AS (SELECT e.scene_id, e.view_id, e.x, e.y, min({{'sq': b.sq+(r.y-e.y)*(r.y-e.y), 'y': r.y, 'x': b.x}}) AS m FROM e JOIN row r ON (e.scene_id*5+e.view_id)*40+e.x = (r.scene_id*5+r.view_id)*40+r.x GROUP BY ALL)
+SELECT scene_id, view_id, x::INT AS x, y::INT AS y, {r6('sqrt(m.sq)', 'distance')}, m.x::INT AS near_x, m.y::INT AS near_y FROM best""")
+def _(t):
+    return R.distance_field(t.silhouettes, t.cameras).withColumn("distance", rounded(F.col("distance"), "distance"))
+
+
+def gaussian_sql(n, axis, sigma=24):
+    """Weights of reading position ``q`` for position ``p`` of an axis of ``n`` pixels, mirrored at both ends."""
+    r, period = round(4 * sigma), 2 * (n - 1)
+    return (f"{axis}k AS MATERIALIZED (SELECT p, least((p+d+{period}*1000) % {period}, {period} - (p+d+{period}*1000) % {period}) AS q, sum(exp(-(d*d)/{2 * sigma * sigma}.0::DOUBLE)/z) AS w FROM (SELECT unnest(generate_series(0, {n - 1})) AS p), "
+            f"(SELECT unnest(generate_series(-{r}, {r})) AS d), (SELECT sum(exp(-(d*d)/{2 * sigma * sigma}.0::DOUBLE)) AS z FROM (SELECT unnest(generate_series(-{r}, {r})) AS d)) GROUP BY 1, 2)")
+
+
+def blur_sql(src, w=40, h=30, sigma=24):
+    """CTE ``blurred`` (scene_id, view_id, x, y, blur, weight) of the masked column l of ``src``."""
+    return (f"{gaussian_sql(w, 'bx', sigma)}, {gaussian_sql(h, 'by', sigma)}, bl AS MATERIALIZED (SELECT s.scene_id, s.view_id, p AS x, s.y, sum(w*l) AS l, sum(w) AS m FROM {src} s JOIN bxk ON s.x = q WHERE mask GROUP BY 1,2,3,4), "
+            f"blurred AS MATERIALIZED (SELECT b.scene_id, b.view_id, b.x, p AS y, sum(w*l)/greatest(sum(w*m), 1e-5) AS blur, sum(w*m) AS weight FROM bl b JOIN byk ON b.y = q GROUP BY 1,2,3,4)")
+
+
+@query("g26_masked_blur", f"""WITH lum AS (SELECT *, r*0.2126+g*0.7152+b*0.0722 AS l FROM pixels), {blur_sql('lum')}
+SELECT scene_id, view_id, x::INT AS x, y::INT AS y, {r6('blur', 'blur')}, {r6('weight', 'weight')} FROM blurred""")
 def _(t):
     luma = t.pixels.withColumn("l", F.col("r") * 0.2126 + F.col("g") * 0.7152 + F.col("b") * 0.0722)
-    return G.masked_blur(luma, "l", 2.0, 6).where(F.col("weight") > 0.01).select(
-        "scene_id", "view_id", "x", "y", rounded(F.col("blur_l"), "blur"))
+    return R.masked_gaussian(luma, t.cameras, "l", 24.0).where("weight > 0").select("scene_id", "view_id", "x", "y", rounded(F.col("blur_l"), "blur"), rounded(F.col("weight"), "weight"))
 
 
 @query("f26_display_transform", f"""WITH s AS (SELECT scene_id, (min(x)+max(x))/2 AS mx, (min(y)+max(y))/2 AS my, (min(z)+max(z))/2 AS mz, 2.0::DOUBLE/greatest(max(x)-min(x), max(y)-min(y), max(z)-min(z)) AS s FROM vertices GROUP BY 1)

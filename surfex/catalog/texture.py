@@ -225,11 +225,14 @@ def _(t):
     return out.withColumns({c: rounded(F.col(c), c) for c in ("lower", "upper", "unresolved_fraction")})
 
 
-@query("r6_pad_texels", f"""WITH {ATLAS}, a AS MATERIALIZED (SELECT scene_id, x AS tx, y AS ty FROM tx WHERE fid % 3 <> 0), o AS (SELECT unnest(generate_series(-2, 2)) AS d), e AS (SELECT a.scene_id, tx+p.d AS tx, ty+q.d AS ty, min(p.d*p.d+q.d*q.d) AS sq FROM a, o p, o q WHERE p.d*p.d+q.d*q.d <= 4 GROUP BY 1,2,3)
-SELECT scene_id, tx::INT AS tx, ty::INT AS ty, sq > 0 AS padding FROM e WHERE tx BETWEEN 0 AND 255 AND ty BETWEEN 0 AND 63""")
+@query("r6_pad_texels", f"""WITH {ATLAS}, {BEST}, a AS MATERIALIZED (SELECT t.scene_id, t.x AS tx, t.y AS ty, (t.scene_id*64+t.y)*256+t.x AS key, floor(coalesce(s.r, 145))::INT AS r, floor(coalesce(s.g, 120))::INT AS g, floor(coalesce(s.b, 90))::INT AS b
+  FROM tx t LEFT JOIN best p ON t.scene_id*1000+t.fid = p.scene_id*1000+p.fid LEFT JOIN face_scores s ON (p.scene_id*1000+p.fid)*5+p.view_id = (s.scene_id*1000+s.fid)*5+s.view_id), o AS (SELECT unnest(generate_series(-4, 4)) AS d),
+e AS (SELECT a.scene_id, tx+p.d AS tx, ty+q.d AS ty, min({{'sq': p.d*p.d+q.d*q.d, 'y': ty, 'x': tx, 'r': r, 'g': g, 'b': b}}) AS m FROM a, o p, o q WHERE p.d*p.d+q.d*q.d <= 16 GROUP BY 1,2,3)
+SELECT scene_id, tx::INT AS tx, ty::INT AS ty, m.r AS r, m.g AS g, m.b AS b, m.sq > 0 AS padding FROM e WHERE tx BETWEEN 0 AND 255 AND ty BETWEEN 0 AND 63""")
 def _(t):
-    active = _atlas(t).where("fid % 3 <> 0").select("scene_id", F.col("x").alias("tx"), F.col("y").alias("ty"), *[F.lit(0).alias(c) for c in "rgb"])
-    return X.pad_texels(active, ATLAS_W, ATLAS_H, 2).select("scene_id", "tx", "ty", "padding")
+    best = X.best_view(t.face_scores, carry=("r", "g", "b"))
+    active = _atlas(t).select("scene_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "fid").join(best, ["scene_id", "fid"], "left")
+    return X.pad_texels(active.select("scene_id", "tx", "ty", *[F.floor(F.coalesce(F.col(c), F.lit(float(v)))).cast("int").alias(c) for c, v in zip("rgb", K.FALLBACK_RGB)]), ATLAS_W, ATLAS_H, 4)
 
 
 STRETCH = """st0 AS (SELECT u.scene_id, u.fid, (ub-ua)*256 AS a1, (vb-va)*64 AS a2, (uc-ua)*256 AS c1, (vc-va)*64 AS c2, x1-x0 AS ex, y1-y0 AS ey, z1-z0 AS ez, x2-x0 AS fx, y2-y0 AS fy, z2-z0 AS fz FROM uv_corners u JOIN corners c ON u.scene_id*1000+u.fid = c.scene_id*1000+c.fid),
@@ -283,11 +286,12 @@ def _(t):
     return X.seam_report(e.withColumn("delta_e", F.col("delta_e").cast("double"))).select("scene_id", "scope", "edges", *[rounded(F.col(c), c) for c in ("mean", "above_20", "p95")])
 
 
-@query("g29_region_ssim", f"""WITH f AS (SELECT a.scene_id, r.region_id, a.x, a.y, a.r AS a, coalesce(b.r, a.r) AS b FROM pixels a LEFT JOIN pixels_b b ON ((a.scene_id*5+a.view_id)*30+a.y)*40+a.x = ((b.scene_id*5+b.view_id)*30+b.y)*40+b.x JOIN regions r ON a.scene_id*5+a.view_id = r.scene_id*5+r.view_id WHERE a.x >= x0 AND a.x < x1 AND a.y >= y0 AND a.y < y1),
-o AS (SELECT unnest([-1,0,1]) AS d), w AS (SELECT scene_id, region_id, x+p.d AS x, y+q.d AS y, count(*) AS n, sum(a)/9 AS ma, sum(b)/9 AS mb, sum(a*a)/9 AS aa, sum(b*b)/9 AS bb, sum(a*b)/9 AS ab FROM f, o p, o q GROUP BY 1,2,3,4 HAVING count(*) = 9),
-v AS (SELECT *, (aa-ma*ma)*1.125 AS va, (bb-mb*mb)*1.125 AS vb, (ab-ma*mb)*1.125 AS vab FROM w)
-SELECT scene_id, region_id, {r6('avg(((2*ma*mb+6.5025)*(2*vab+58.5225))/((ma*ma+mb*mb+6.5025)*(va+vb+58.5225)))','ssim')}, count(*) AS windows FROM v GROUP BY 1, 2""")
+SSIM_CHANNEL = "((2*ma{c}*mb{c}+6.5025)*(2*(ab{c}-ma{c}*mb{c})*49/48::DOUBLE+58.5225))/((ma{c}*ma{c}+mb{c}*mb{c}+6.5025)*((aa{c}-ma{c}*ma{c}+bb{c}-mb{c}*mb{c})*49/48::DOUBLE+58.5225))"
+
+
+@query("g29_region_ssim", f"""WITH bx AS (SELECT scene_id, region_id, view_id, unnest(generate_series(x0, x1-1)) AS x, y0, y1 FROM regions), cell AS (SELECT scene_id, region_id, view_id, x, unnest(generate_series(y0, y1-1)) AS y FROM bx),
+f AS MATERIALIZED (SELECT c.scene_id*25+c.region_id AS region, c.x, c.y, {', '.join(f'coalesce({t}.{c}, 0) AS {t}{c}' for t in 'ab' for c in 'rgb')} FROM cell c LEFT JOIN pixels a ON ((c.scene_id*5+c.view_id)*30+c.y)*40+c.x = ((a.scene_id*5+a.view_id)*30+a.y)*40+a.x LEFT JOIN pixels_b b ON ((c.scene_id*5+c.view_id)*30+c.y)*40+c.x = ((b.scene_id*5+b.view_id)*30+b.y)*40+b.x),
+o AS (SELECT unnest(generate_series(-3, 3)) AS d), w AS (SELECT region, x+p.d AS x, y+q.d AS y, {', '.join(f'sum(a{c})/49 AS ma{c}, sum(b{c})/49 AS mb{c}, sum(a{c}*a{c})/49 AS aa{c}, sum(b{c}*b{c})/49 AS bb{c}, sum(a{c}*b{c})/49 AS ab{c}' for c in 'rgb')} FROM f, o p, o q GROUP BY 1,2,3 HAVING count(*) = 49)
+SELECT region // 25 AS scene_id, (region % 25)::INT AS region_id, {r6('avg((' + '+'.join(SSIM_CHANNEL.format(c=c) for c in 'rgb') + ')/3)','ssim')}, count(*) AS windows FROM w GROUP BY 1, 2""")
 def _(t):
-    key = ["scene_id", "view_id", "x", "y"]
-    b = t.pixels.select(*key, F.col("r").alias("_r")).join(t.pixels_b.select(*key, "r"), key, "left").select(*key, F.coalesce("r", "_r").alias("r"))
-    return X.region_ssim(t.pixels, b, t.regions, "r", 3).withColumn("ssim", rounded(F.col("ssim"), "ssim"))
+    return X.region_ssim(t.pixels, t.pixels_b, t.regions).withColumn("ssim", rounded(F.col("ssim"), "ssim"))

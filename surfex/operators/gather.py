@@ -1,4 +1,4 @@
-"""Point-camera joins, pixel gathers and grid neighbourhoods.
+"""Point-camera joins and pixel gathers.
 
 All tables are keyed by ``scene_id``; pixel tables also by ``view_id, x, y``. Joins are equi joins on those keys.
 """
@@ -116,102 +116,3 @@ def sample_bilinear(pts: DataFrame, pixels: DataFrame, cols: dict[str, float], w
                     F.when(F.col("_in"), F.col("v")), missing)
     return out.withColumns({f"s_{c}": F.when(F.col("_in"), F.col(f"s_{c}")).otherwise(F.lit(v))
                             for c, v in cols.items()}).drop("_in")
-
-
-def frame_cells(cameras: DataFrame) -> DataFrame:
-    """Every pixel position of every view."""
-    return cameras.select("scene_id", "view_id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), "w") \
-        .select("scene_id", "view_id", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"), "y")
-
-
-def _line(cells: DataFrame, axis: str, r: int) -> DataFrame:
-    moves = F.explode(F.array(*[F.lit(d) for d in range(-r, r + 1)])).alias("_d")
-    return cells.select("*", moves).withColumn(axis, F.col(axis) + F.col("_d"))
-
-
-def dilate_box(cells: DataFrame, r: int, keys: list[str] = CELL) -> DataFrame:
-    """Cells within a (2r+1) square of a given cell. Two one-dimensional passes, 2(2r+1) instead of (2r+1)^2 copies."""
-    out = cells.select(*keys)
-    for axis in ("x", "y"):
-        out = _line(out, axis, r).select(*keys).distinct()
-    return out
-
-
-def clip_to_frame(cells: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Drop cells outside their photo."""
-    sizes = cameras.select("scene_id", "view_id", "w", "h")
-    return cells.join(sizes, ["scene_id", "view_id"]).where(
-        (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") < F.col("h"))).drop("w", "h")
-
-
-def erode_box(cells: DataFrame, r: int, cameras: DataFrame) -> DataFrame:
-    """Cells whose whole (2r+1) square is set; positions outside the photo never erode.
-
-    A cell counts its set neighbours along one axis and must reach the number of in-photo positions there.
-    """
-    sizes = cameras.select("scene_id", "view_id", "w", "h")
-    out = cells.select(*CELL)
-    for axis, size in (("x", "w"), ("y", "h")):
-        counts = _line(out, axis, r).groupBy(*CELL).agg(F.count("*").alias("_n"))
-        room = F.least(F.col(axis) + r, F.col(size) - 1) - F.greatest(F.col(axis) - r, F.lit(0)) + 1
-        out = counts.join(sizes, ["scene_id", "view_id"]).where(
-            (F.col("_n") == room) & (F.col(axis) >= 0) & (F.col(axis) < F.col(size))).select(*CELL)
-    return out
-
-
-def close_box(cells: DataFrame, r: int, cameras: DataFrame) -> DataFrame:
-    """Dilate, then erode."""
-    return erode_box(clip_to_frame(dilate_box(cells, r), cameras), r, cameras)
-
-
-def distance_to(cells: DataFrame, bound: int, name: str = "distance", carry: list[str] | None = None,
-                keys: list[str] = CELL) -> DataFrame:
-    """Exact Euclidean distance to the nearest given cell, for every position up to ``bound`` pixels away.
-
-    Separable: the nearest set cell along x, then the minimum of dx^2 + dy^2 along y. With ``carry`` the columns of
-    the nearest cell come along; ties go to the smallest (dy, dx) move.
-    """
-    carry = carry or []
-    payload = [F.col(c) for c in carry]
-    along_x = _line(cells.select(*keys, *carry), "x", bound).groupBy(*keys).agg(
-        F.min(F.struct(F.abs("_d").alias("a"), (-F.col("_d")).alias("dx"), *payload)).alias("_m")) if carry else \
-        _line(cells.select(*keys), "x", bound).groupBy(*keys).agg(F.min(F.abs("_d")).alias("_a"))
-    if not carry:
-        both = _line(along_x, "y", bound).groupBy(*keys).agg(
-            F.min(F.col("_a") * F.col("_a") + F.col("_d") * F.col("_d")).alias("_sq"))
-        return both.where(F.col("_sq") <= bound * bound).select(*keys, F.sqrt("_sq").alias(name))
-    square = F.col("_m.a") * F.col("_m.a") + F.col("_d") * F.col("_d")
-    both = _line(along_x, "y", bound).groupBy(*keys).agg(
-        F.min(F.struct(square.alias("sq"), (-F.col("_d")).alias("dy"), F.col("_m.dx").alias("dx"),
-                       *[F.col(f"_m.{c}").alias(c) for c in carry])).alias("_m"))
-    return both.where(F.col("_m.sq") <= bound * bound).select(
-        *keys, F.sqrt("_m.sq").alias(name), *[F.col(f"_m.{c}").alias(c) for c in carry])
-
-
-def signed_mask_distance(mask: DataFrame, cameras: DataFrame, bound: int = 8) -> DataFrame:
-    """Positive outside the mask, negative inside, +-bound beyond the bound; one row per pixel of the photo."""
-    frame = frame_cells(cameras)
-    outside = frame.join(mask.select(*CELL), CELL, "left_anti")
-    to_mask = distance_to(mask, bound, "_to_mask")
-    to_out = distance_to(outside, bound, "_to_out")
-    flag = mask.select(*CELL, F.lit(True).alias("_set"))
-    return frame.join(flag, CELL, "left").join(to_mask, CELL, "left").join(to_out, CELL, "left").select(
-        *CELL, F.when(F.col("_set"), -F.coalesce("_to_out", F.lit(float(bound))))
-        .otherwise(F.coalesce("_to_mask", F.lit(float(bound)))).alias("signed"))
-
-
-def masked_blur(pixels: DataFrame, value: str, sigma: float, radius: int) -> DataFrame:
-    """Foreground-normalised Gaussian mean: sum(w L m) / max(sum(w m), 1e-5), two one-dimensional passes.
-
-    ``weight`` is the blurred mask itself.
-    """
-    weight = F.exp(-(F.col("_d") * F.col("_d")) / F.lit(2.0 * sigma * sigma))
-    out = pixels.where("mask").select(*CELL, F.col(value).cast("double").alias("_l"), F.lit(1.0).alias("_m"))
-    for axis in ("x", "y"):
-        out = _line(out, axis, radius).groupBy(*CELL).agg(F.sum(weight * F.col("_l")).alias("_l"),
-                                                          F.sum(weight * F.col("_m")).alias("_m"))
-    norm = F.aggregate(F.sequence(F.lit(-radius), F.lit(radius)), F.lit(0.0),
-                       lambda a, d: a + F.exp(-(d * d) / F.lit(2.0 * sigma * sigma)))
-    scale = norm * norm
-    return out.select(*CELL, (F.col("_l") / scale / F.greatest(F.col("_m") / scale, F.lit(1e-5))).alias(f"blur_{value}"),
-                      (F.col("_m") / scale).alias("weight"))

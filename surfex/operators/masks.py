@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color as K
-from .gather import CELL, close_box
+from . import grids as R
+from .gather import CELL
 from .ranking import exact_quantiles, exact_quantiles_of
 from .raster import splat
 
@@ -22,7 +23,7 @@ def compare_masks(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("scene_id",
 
 def splat_silhouette(seen: DataFrame, cameras: DataFrame) -> DataFrame:
     """Pixels hit by projected points, closed by a 3x3 box."""
-    return close_box(splat(seen, []).select(*CELL), 1, cameras)
+    return R.close(splat(seen, []).select(*CELL), cameras, R.box, 1)
 
 
 def leave_one_out(seen: DataFrame, masks: DataFrame, cameras: DataFrame, source: str = "source_view") -> tuple[DataFrame, DataFrame]:
@@ -73,6 +74,40 @@ def sky_pixels(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
         .where(inside & K.sky(F.col("r"), F.col("g"), F.col("b"))).select(*CELL).distinct()
 
 
+def revise_masks(levels: DataFrame, pixels: DataFrame, frames: DataFrame, notes: DataFrame, work: tuple[int, int] = (1200, 1600)) -> dict[str, DataFrame]:
+    """Take annotated background out of grey masks; returns the revised ``levels``, the ``sky`` pixels and the ``report``.
+
+    ``levels``: scene_id, view_id, x, y, level (a missing pixel is 0); ``pixels``: r, g, b; ``frames``: w, h per photo;
+    ``notes``: one row per photo as ``read_annotations`` gives it, in pixels of a ``work`` sized photo. In this order:
+    polygons, widened by an elliptic kernel, become 0; below the start row, and on it, every level becomes the least under an
+    elliptic kernel; blue sky pixels of the photo's box, widened by a square inside the box, become 0.
+    """
+    keys = ["scene_id", "view_id"]
+    sx, sy = F.col("w") / work[0], F.col("h") / work[1]
+    pixel = lambda v, s: (v + 0.5) * s - 0.5
+    known = frames.join(notes, keys).withColumns({
+        "gap": F.rint(F.col("exclusion_margin") * sy).cast("int"), "inset": F.rint(F.col("boundary_margin") * sy).cast("int"), "low": F.rint(F.col("boundary_start") * sy).cast("int"),
+        "sky_box": F.transform("sky_box", lambda v: F.rint(pixel(v, sy)).cast("int"))})
+    polygons = known.select(*keys, F.posexplode("polygons").alias("polygon_id", "p"), "w", "h").select(
+        *keys, "polygon_id", F.transform("p", lambda q: F.struct(pixel(q["x"], sx).alias("x"), pixel(q["y"], sy).alias("y"))).alias("points"))
+    gone = R.dilate(R.polygon_cells(polygons, frames), known, R.ellipse, F.col("gap"))
+    left = levels.select(*CELL, "level").join(gone, CELL, "left_anti")
+    inner = R.morph(left, known, ("shrink",), R.ellipse, F.col("inset")).withColumnRenamed("level", "_inner")
+    start = known.select(*keys, "low")
+    left = left.join(start, keys).join(inner, CELL, "left").select(
+        *CELL, F.when(F.col("y") >= F.col("low"), F.coalesce("_inner", F.lit(0))).otherwise(F.col("level")).cast("int").alias("level"))
+    boxed = known.where("sky_box IS NOT NULL").select(*keys, *[F.col("sky_box")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], "blue_red", "blue_green", "blue_least", "sky_margin", "w", "h")
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    blue = (F.col("b") > F.col("blue_red") * F.col("r")) & (F.col("b") > F.col("blue_green") * F.col("g")) & (F.col("b") - F.col("r") > F.col("blue_least"))
+    sky = pixels.join(boxed.drop("w", "h"), keys).where(inside & blue).select(*CELL)
+    sky = R.dilate(sky, boxed, R.box, F.col("sky_margin")).join(boxed.select(*keys, "x0", "y0", "x1", "y1"), keys).where(inside).select(*CELL)
+    # Sky pixels count where the mask was certain until then.
+    removed = left.where("level >= 254").join(sky, CELL, "left_semi")
+    revised = left.where("level > 0").join(sky, CELL, "left_anti")
+    report = mask_revision_report(levels, revised, removed, polygons)
+    return {"levels": revised, "sky": removed, "report": report}
+
+
 def mask_revision_report(before: DataFrame, after: DataFrame, sky: DataFrame | None = None, polygons: DataFrame | None = None) -> DataFrame:
     """Certain pixels (level at least 254) before, after and removed per view; sky pixels removed; polygon count."""
     parts = [before.where("level >= 254").select(*CELL, F.lit(1).alias("_b"), F.lit(0).alias("_a"), F.lit(0).alias("_s")),

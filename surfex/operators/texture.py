@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color as K
 from ..session import cut_lineage
-from .gather import distance_to, sample_bilinear_clamped
+from . import grids as R
+from .gather import sample_bilinear_clamped
 from .mesh import both_ways
 from .ranking import exact_quantiles
 
@@ -180,11 +181,15 @@ def bake_texels(texels: DataFrame, labels: DataFrame, fallback: DataFrame, views
 
 
 def pad_texels(texels: DataFrame, width: int, height: int, pad: int = 4) -> DataFrame:
-    """Copy the nearest active texel into positions up to ``pad`` away; padding is marked and never counts as coverage."""
-    cells = texels.select("scene_id", F.lit(0).alias("view_id"), F.col("tx").alias("x"), F.col("ty").alias("y"), "r", "g", "b")
-    near = distance_to(cells, pad, carry=["r", "g", "b"])
-    inside = near.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height))
-    return inside.select("scene_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "r", "g", "b", (F.col("distance") > 0).alias("padding"))
+    """Copy the nearest active texel into positions up to ``pad`` away; padding is marked and never counts as coverage.
+
+    Of texels equally near, the one with the smaller row, then column, is copied.
+    """
+    atlas = texels.select("scene_id").distinct().select("scene_id", F.lit(0).alias("view_id"), F.lit(width).alias("w"), F.lit(height).alias("h"))
+    cells = texels.select("scene_id", F.lit(0).alias("view_id"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+    near = R.distance_field(cells, atlas, within=pad).select("scene_id", F.col("x").alias("tx"), F.col("y").alias("ty"), "near_x", "near_y", (F.col("distance") > 0).alias("padding"))
+    colors = texels.select("scene_id", F.col("tx").alias("near_x"), F.col("ty").alias("near_y"), "r", "g", "b")
+    return near.join(colors, ["scene_id", "near_x", "near_y"]).select("scene_id", "tx", "ty", "r", "g", "b", "padding")
 
 
 def coverage_report(texels: DataFrame) -> DataFrame:
@@ -268,29 +273,19 @@ def seam_report(edges: DataFrame) -> DataFrame:
     return sums.join(exact_quantiles(long, keys, "delta_e", {"p95": 0.95}), keys)
 
 
-def region_ssim(a: DataFrame, b: DataFrame, regions: DataFrame, value: str = "r", win: int = 7, data_range: float = 255.0) -> DataFrame:
-    """Mean structural similarity of two renderings inside fixed boxes (whole ``win`` windows only, sample covariance).
+def region_ssim(a: DataFrame, b: DataFrame, regions: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), win: int = 7, data_range: float = 255.0) -> DataFrame:
+    """Mean structural similarity of two renderings inside fixed boxes [x0, x1) x [y0, y1): whole ``win`` windows, all channels.
 
-    Pixels meet the boxes by an equi join on their row; window sums run along x, then along y.
+    Pixels meet the boxes by an equi join on their row; every box is then a picture of its own. A pixel that a rendering
+    lacks is black.
     """
     key = ["scene_id", "view_id", "x", "y"]
-    pix = a.select(*key, F.col(value).alias("_a")).join(b.select(*key, F.col(value).alias("_b")), key)
-    rows = regions.select("scene_id", "view_id", "region_id", "x0", "x1", "y0", "y1",
-                          F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
+    pix = a.select(*key, *[F.col(c).alias(f"a{i}") for i, c in enumerate(channels)]).join(
+        b.select(*key, *[F.col(c).alias(f"b{i}") for i, c in enumerate(channels)]), key, "full_outer")
+    rows = regions.where("y0 < y1").select("scene_id", "view_id", "region_id", "x0", "x1", "y0", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
     cut = pix.join(rows, ["scene_id", "view_id", "y"]).where("x >= x0 AND x < x1").select(
-        "scene_id", "region_id", "x", "y", F.lit(1).alias("n"), F.col("_a").alias("a"), F.col("_b").alias("b"),
-        (F.col("_a") * F.col("_a")).alias("aa"), (F.col("_b") * F.col("_b")).alias("bb"), (F.col("_a") * F.col("_b")).alias("ab"))
-    half = win // 2
-    names = ["n", "a", "b", "aa", "bb", "ab"]
-    for axis in ("x", "y"):
-        moves = F.explode(F.array(*[F.lit(d) for d in range(-half, half + 1)])).alias("_d")
-        cut = cut.select("*", moves).withColumn(axis, F.col(axis) + F.col("_d")).groupBy("scene_id", "region_id", "x", "y") \
-            .agg(*[F.sum(c).alias(c) for c in names])
-    full, norm = win * win, win * win / (win * win - 1)
-    w = cut.where(F.col("n") == full).withColumns({"ma": F.col("a") / full, "mb": F.col("b") / full}).withColumns({
-        "va": (F.col("aa") / full - F.col("ma") * F.col("ma")) * norm, "vb": (F.col("bb") / full - F.col("mb") * F.col("mb")) * norm,
-        "vab": (F.col("ab") / full - F.col("ma") * F.col("mb")) * norm})
-    c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
-    c = F.col
-    ssim = ((c("ma") * c("mb") * 2 + c1) * (c("vab") * 2 + c2)) / ((c("ma") * c("ma") + c("mb") * c("mb") + c1) * (c("va") + c("vb") + c2))
-    return w.groupBy("scene_id", "region_id").agg(F.avg(ssim).alias("ssim"), F.count("*").alias("windows"))
+        "scene_id", F.col("region_id").alias("view_id"), (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"),
+        *[F.coalesce(f"{s}{i}", F.lit(0)).cast("double").alias(f"{s}{i}") for i in range(len(channels)) for s in "ab"])
+    boxes = regions.select("scene_id", F.col("region_id").alias("view_id"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+    score = R.similarity(cut, boxes, len(channels), win, data_range)
+    return score.groupBy("scene_id", F.col("view_id").alias("region_id")).agg(F.avg("ssim").alias("ssim"), F.count("*").alias("windows"))

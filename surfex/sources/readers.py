@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.content import decoded_type, digest
 from ..operators.jobs import parse_events
@@ -117,9 +118,28 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
         F.transform("r.polygon", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("polygon"))
 
 
+def _notes(spark: SparkSession, path: str, photos: DataFrame) -> DataFrame:
+    """Every photo (scene_id, view_id, name) beside the annotation document of its scene; documents lie in folders scene_id=<n>."""
+    schema = T.StructType([*S.REGIONS.fields, T.StructField("scene_id", T.LongType())])
+    return photos.select("scene_id", "view_id", "name").join(spark.read.schema(schema).option("multiLine", "true").json(path), "scene_id")
+
+
 def read_margins(spark: SparkSession, path: str, photos: DataFrame) -> DataFrame:
-    """Lower-boundary margin per photo name: the photo's own value, else the document default."""
-    doc = spark.read.schema(S.REGIONS).option("multiLine", "true").json(path).select(
-        F.col("lowerBoundaryMarginWorkingPixels").alias("_d"), F.col("perPhotoLowerBoundaryMarginWorkingPixels").alias("_m"))
-    return photos.select("name").distinct().join(doc, F.lit(True)).select(
-        "name", F.coalesce(F.try_element_at("_m", F.col("name")), F.col("_d")).alias("margin"))
+    """Lower-boundary margin per photo: the photo's own value, else its document's default."""
+    own = F.try_element_at("perPhotoLowerBoundaryMarginWorkingPixels", F.col("name"))
+    return _notes(spark, path, photos).select("scene_id", "view_id", "name", F.coalesce(own, "lowerBoundaryMarginWorkingPixels").alias("margin"))
+
+
+def read_annotations(spark: SparkSession, path: str, photos: DataFrame) -> DataFrame:
+    """Background polygons, margins, start row and sky rule of every photo, in working pixels, as ``revise_masks`` takes them.
+
+    A photo without polygons has none; one without a sky box has a null box; missing margins are 0.
+    """
+    sky, none = F.col("instrumentSkyExclusion"), F.lit(0.0)
+    points = F.transform(F.try_element_at("backgroundPolygons", F.col("name")), lambda p: F.transform(p, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
+    own = F.try_element_at("perPhotoLowerBoundaryMarginWorkingPixels", F.col("name"))
+    return _notes(spark, path, photos).select(
+        "scene_id", "view_id", F.coalesce(points, F.array().cast("array<array<struct<x:double,y:double>>>")).alias("polygons"),
+        F.coalesce("manualExclusionMarginWorkingPixels", none).alias("exclusion_margin"), F.coalesce(own, "lowerBoundaryMarginWorkingPixels", none).alias("boundary_margin"),
+        F.coalesce("lowerBoundaryMarginStartsAtWorkingY", none).alias("boundary_start"), F.try_element_at(sky["boxes"], F.col("name")).alias("sky_box"),
+        sky["blueRedRatio"].alias("blue_red"), sky["blueGreenRatio"].alias("blue_green"), sky["minimumBlueMinusRed"].alias("blue_least"), sky["fullPixelMargin"].alias("sky_margin"))

@@ -28,7 +28,8 @@ DATASET = struct(formatVersion=I, kind=S, records=T.ArrayType(VIEW))
 MATCH_SET = struct(pairs=T.ArrayType(struct(names=T.ArrayType(S), pointsA=T.ArrayType(T.ArrayType(D)), pointsB=T.ArrayType(T.ArrayType(D)))))
 REGIONS = struct(regions=T.ArrayType(struct(id=S, photo=S, box=T.ArrayType(D), polygon=T.ArrayType(T.ArrayType(D)), surface=S, detail=S)),
                  backgroundPolygons=T.MapType(S, T.ArrayType(T.ArrayType(T.ArrayType(D)))), lowerBoundaryMarginWorkingPixels=D,
-                 perPhotoLowerBoundaryMarginWorkingPixels=T.MapType(S, D))
+                 perPhotoLowerBoundaryMarginWorkingPixels=T.MapType(S, D), lowerBoundaryMarginStartsAtWorkingY=D, manualExclusionMarginWorkingPixels=D,
+                 instrumentSkyExclusion=struct(boxes=T.MapType(S, T.ArrayType(D)), blueRedRatio=D, blueGreenRatio=D, minimumBlueMinusRed=D, fullPixelMargin=I))
 SAMPLE = struct(job_id=S, stage=S, seconds=D, rssBytes=L, mpsDriverBytes=L)
 GRID = struct(scene_id=L, view_id=I, width=I, depth=T.ArrayType(T.FloatType()), confidence=T.ArrayType(T.FloatType()), mask=T.ArrayType(B))
 VERTEX = struct(scene_id=L, vid=L, x=D, y=D, z=D)

@@ -37,3 +37,8 @@ def write_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON object per row and line."""
     report.select(F.to_json(F.struct(*report.columns)).alias("value")).write.mode("errorifexists").text(path)
+
+
+def write_annotations(notes: DataFrame, path: str) -> None:
+    """One annotation document per scene, in a folder scene_id=<n>; ``notes`` has the document's fields beside scene_id."""
+    notes.write.mode("errorifexists").partitionBy("scene_id").json(path)

@@ -138,14 +138,6 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == (0 if i <= 120 else 121) for i in range(n)) and got[n] == n
 
 
-def test_distance_transform_is_exact(spark):
-    cells = [(0, 0, 5, 5), (0, 0, 9, 2)]
-    got = {(r.x, r.y): r.distance for r in G.distance_to(spark.createDataFrame(cells, "scene_id int, view_id int, x int, y int"), 4).collect()}
-    for (x, y), d in got.items():
-        assert d == pytest.approx(min(math.hypot(x - a, y - b) for _, _, a, b in cells))
-    assert len(got) == len({(x, y) for _, _, a, b in cells for x in range(-9, 20) for y in range(-9, 20) if math.hypot(x - a, y - b) <= 4})
-
-
 def test_gains_match_the_dense_least_squares(spark):
     rng = np.random.default_rng(1)
     pairs = [(0, 0, 1), (0, 1, 2), (0, 0, 2)]

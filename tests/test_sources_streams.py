@@ -50,7 +50,20 @@ def test_views_regions_margins(spark, tmp_path):
     assert [(r.view_id, r.id) for r in views.orderBy("view_id").collect()] == [(0, "a"), (1, "b")]
     doc = dump(tmp_path / "r.json", {"regions": [{"id": "face", "photo": "x", "box": [1, 2, 3, 4]}], "lowerBoundaryMarginWorkingPixels": 5, "perPhotoLowerBoundaryMarginWorkingPixels": {"y": 9}})
     assert readers.read_regions(spark, doc).first().x1 == 3
-    assert {r.name: r.margin for r in readers.read_margins(spark, doc, views).collect()} == {"x": 5.0, "y": 9.0}
+
+
+def test_annotations_of_every_scene(spark, tmp_path):
+    for scene, default in ((0, 5), (1, 7)):
+        (tmp_path / f"scene_id={scene}").mkdir()
+        dump(tmp_path / f"scene_id={scene}" / "notes.json", {"lowerBoundaryMarginWorkingPixels": default, "perPhotoLowerBoundaryMarginWorkingPixels": {"y": 9},
+             "backgroundPolygons": {"x": [[[1, 2], [3, 4], [5, 6]], []]}, "instrumentSkyExclusion": {"boxes": {"y": [1, 2, 3, 4]}, "blueRedRatio": 1.5, "fullPixelMargin": 2}})
+    photos = spark.createDataFrame([(s, v, n) for s in (0, 1, 2) for v, n in ((0, "x"), (1, "y"))], "scene_id long, view_id int, name string")
+    margins = {(r.scene_id, r.name): r.margin for r in readers.read_margins(spark, str(tmp_path), photos).collect()}
+    assert margins == {(0, "x"): 5.0, (0, "y"): 9.0, (1, "x"): 7.0, (1, "y"): 9.0}
+    notes = {(r.scene_id, r.view_id): r for r in readers.read_annotations(spark, str(tmp_path), photos).collect()}
+    assert len(notes) == 4 and [(p.x, p.y) for p in notes[1, 0].polygons[0]] == [(1, 2), (3, 4), (5, 6)]
+    assert notes[0, 1].polygons == [] and notes[0, 0].sky_box is None and notes[0, 1].sky_box == [1, 2, 3, 4]
+    assert (notes[0, 0].boundary_start, notes[0, 0].exclusion_margin, notes[1, 1].blue_red, notes[1, 1].blue_least, notes[1, 1].sky_margin) == (0.0, 0.0, 1.5, None, 2)
 
 
 def test_matches_drop_unknown_and_empty(spark, tmp_path):
