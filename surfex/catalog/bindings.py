@@ -72,6 +72,15 @@ SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_suppkey % 5 AS
   CAST(sum(CAST(l_quantity AS BIGINT)) % 5 AS INT) AS label
 FROM lineitem GROUP BY 1, 2, 3, 4""")
 
+# The photos at twice the size, with grey masks, and cameras that know both sizes.
+bind("full_pixels", """
+SELECT scene_id, view_id, x * 2 + dx AS x, y * 2 + dy AS y, r + dx * 3e0 AS r, g - dy * g / 64 AS g, b, CASE WHEN mask THEN 255e0 ELSE 100e0 END AS level
+FROM (SELECT *, CAST(0 AS INT) AS dx, CAST(0 AS INT) AS dy FROM pixels UNION ALL SELECT *, CAST(1 AS INT) AS dx, CAST(0 AS INT) AS dy FROM pixels
+  UNION ALL SELECT *, CAST(0 AS INT) AS dx, CAST(1 AS INT) AS dy FROM pixels UNION ALL SELECT *, CAST(1 AS INT) AS dx, CAST(1 AS INT) AS dy FROM pixels) q""")
+bind("studio_cameras", """
+SELECT scene_id, view_id, ext, k, w, h, array((7013e-2 + scene_id % 3) * 2, 0e0, 395e-1, 0e0, (7013e-2 + scene_id % 3) * 2, 295e-1, 0e0, 0e0, 1e0) AS full_k,
+  CAST(80 AS INT) AS full_w, CAST(60 AS INT) AS full_h FROM cameras""")
+
 # A second rendering of the same views: the rows of even line numbers.
 bind("pixels_b", """
 SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_suppkey % 5 AS INT) AS view_id,
@@ -123,6 +132,10 @@ bind("face_scores", """
 SELECT f.scene_id, f.fid, p.view_id, CASE WHEN p.mask THEN p.r / 250e0 ELSE 0e0 END AS score, p.r, p.g, p.b
 FROM faces f JOIN pixels p ON f.scene_id * 1200 + f.fid = p.scene_id * 1200 + p.y * 40 + p.x""")
 
+# The same scores with a band of faces that no view shows: holes many faces deep.
+bind("holed_scores", """
+SELECT scene_id, fid, view_id, CASE WHEN floor(fid / 20) % 30 BETWEEN 6 AND 27 THEN 0e0 ELSE score END AS score, r, g, b FROM face_scores""")
+
 # Which corners of which view carry depth support.
 bind("vertex_support", """
 SELECT v.scene_id, v.vid, p.view_id, p.r / 250e0 AS score, p.r, p.g, p.b

@@ -139,11 +139,11 @@ def _(t):
     return G.sample_nearest(one, t.pixels, {"depth": -1.0}, w, h).withColumnRenamed("s_depth", "strict").select("scene_id", "vid", "view_id", "clamped", "strict")
 
 
-def bilinear_sql(src, cols, x, y, missing=0):
-    """CTE bodies that bilinearly sample ``cols`` of pixels for rows of ``src`` (must have scene_id, view_id)."""
+def bilinear_sql(src, cols, x, y, missing=0, table="pixels", w=40, h=30):
+    """CTE bodies that bilinearly sample ``cols`` of ``table`` (w x h) for rows of ``src`` (must have scene_id, view_id)."""
     joins, exprs = "", {}
     for i, (dx, dy) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):
-        joins += f" LEFT JOIN pixels n{i} ON ((s.scene_id*5+s.view_id)*30+y0+{dy})*40+x0+{dx} = ((n{i}.scene_id*5+n{i}.view_id)*30+n{i}.y)*40+n{i}.x AND x0+{dx} < 40 AND y0+{dy} < 30"
+        joins += f" LEFT JOIN {table} n{i} ON ((s.scene_id*5+s.view_id)*{h}+y0+{dy})*{w}+x0+{dx} = ((n{i}.scene_id*5+n{i}.view_id)*{h}+n{i}.y)*{w}+n{i}.x AND x0+{dx} < {w} AND y0+{dy} < {h}"
     for c in cols:
         q = [f"coalesce(n{i}.{c}::DOUBLE, {missing})" for i in range(4)]
         exprs[c] = f"({q[0]}*(1-dx)+{q[1]}*dx)*(1-dy)+({q[2]}*(1-dx)+{q[3]}*dx)*dy AS s_{c}"
@@ -195,13 +195,18 @@ def _(t):
     return R.morph(t.pixels.withColumn("level", F.greatest("r", F.lit(51))), t.cameras, ("shrink",), R.ellipse, 2)
 
 
-@query("j14_signed_distance", f"""WITH f AS (SELECT (scene_id*5+view_id)*1200 AS base, unnest(generate_series(0, 1199)) AS place FROM cameras), m AS MATERIALIZED (SELECT (scene_id*5+view_id)*1200+y*40+x AS key FROM silhouettes),
-k AS MATERIALIZED (SELECT base + place AS key, (base + place) // 40 AS line, place % 40 AS x, place // 40 AS y, m.key IS NOT NULL AS inside FROM f LEFT JOIN m ON base + place = m.key),
-near AS (SELECT p.key, min((p.x-q.x)*(p.x-q.x)) AS dx FROM k p JOIN k q ON p.line*2+p.inside::INT = q.line*2+(NOT q.inside)::INT GROUP BY 1),
-side AS MATERIALIZED (SELECT key, NOT inside AS inside, x, y, 0 AS dx FROM k UNION ALL SELECT k.key, inside, x, y, dx FROM k JOIN near ON k.key = near.key),
-n AS (SELECT p.key, sqrt(min(q.dx + (p.y-q.y)*(p.y-q.y))) AS d FROM k p JOIN side q ON ((p.key//1200)*40+p.x)*2+p.inside::INT = ((q.key//1200)*40+q.x)*2+q.inside::INT GROUP BY 1)
-SELECT k.key // 6000 AS scene_id, (k.key // 1200 % 5)::INT AS view_id, k.x::INT AS x, k.y::INT AS y, {r6('CASE WHEN k.inside THEN -coalesce(d, 50) ELSE coalesce(d, 50) END', 'signed')}
-FROM k LEFT JOIN n ON k.key = n.key""")
+def signed_sql(mask):
+    """CTE ``sd`` (key, inside, x, y, d): exact distance to the nearest pixel of the other kind; ``mask`` is a SELECT of cells."""
+    return f"""fr AS (SELECT (scene_id*5+view_id)*1200 AS base, unnest(generate_series(0, 1199)) AS place FROM cameras), mk AS MATERIALIZED (SELECT (scene_id*5+view_id)*1200+y*40+x AS key FROM ({mask})),
+kk AS MATERIALIZED (SELECT base + place AS key, (base + place) // 40 AS line, place % 40 AS x, place // 40 AS y, mk.key IS NOT NULL AS inside FROM fr LEFT JOIN mk ON base + place = mk.key),
+near AS (SELECT p.key, min((p.x-q.x)*(p.x-q.x)) AS dx FROM kk p JOIN kk q ON p.line*2+p.inside::INT = q.line*2+(NOT q.inside)::INT GROUP BY 1),
+side AS MATERIALIZED (SELECT key, NOT inside AS inside, x, y, 0 AS dx FROM kk UNION ALL SELECT kk.key, inside, x, y, dx FROM kk JOIN near ON kk.key = near.key),
+nk AS (SELECT p.key, sqrt(min(q.dx + (p.y-q.y)*(p.y-q.y))) AS d FROM kk p JOIN side q ON ((p.key//1200)*40+p.x)*2+p.inside::INT = ((q.key//1200)*40+q.x)*2+q.inside::INT GROUP BY 1),
+sd AS MATERIALIZED (SELECT kk.*, coalesce(d, 50) AS d FROM kk LEFT JOIN nk ON kk.key = nk.key)"""
+
+
+@query("j14_signed_distance", f"""WITH {signed_sql('SELECT * FROM silhouettes')}
+SELECT key // 6000 AS scene_id, (key // 1200 % 5)::INT AS view_id, x::INT AS x, y::INT AS y, {r6('CASE WHEN inside THEN -d ELSE d END', 'signed')} FROM sd""")
 def _(t):
     return R.signed_distance(t.silhouettes, t.cameras).select("scene_id", "view_id", "x", "y", rounded(F.col("signed"), "signed"))
 

@@ -125,8 +125,8 @@ def _(t):
     return X.exposure_gains(_pairs(t), t.cameras).select("scene_id", "view_id", *[rounded(F.col(f"gain_{c}"), f"gain_{c}") for c in "rgb"])
 
 
-def _labels_sql(rounds):
-    out = "own AS MATERIALIZED (SELECT scene_id*1000+fid AS key, view_id, score FROM face_scores WHERE score > 1e-6), ways AS MATERIALIZED (SELECT scene_id*1000+fid_a AS p, scene_id*1000+fid_b AS q FROM adjacency UNION ALL SELECT scene_id*1000+fid_b, scene_id*1000+fid_a FROM adjacency), fk AS (SELECT scene_id*1000+fid AS key FROM faces)"
+def _labels_sql(rounds, scores="face_scores"):
+    out = "own AS MATERIALIZED (SELECT scene_id*1000+fid AS key, view_id, score FROM {scores} WHERE score > 1e-6), ways AS MATERIALIZED (SELECT scene_id*1000+fid_a AS p, scene_id*1000+fid_b AS q FROM adjacency UNION ALL SELECT scene_id*1000+fid_b, scene_id*1000+fid_a FROM adjacency), fk AS (SELECT scene_id*1000+fid AS key FROM faces)".replace("{scores}", scores)
     pick = "SELECT f.key, coalesce(b.view_id, 0) AS label FROM fk f LEFT JOIN (SELECT key, view_id FROM {s} QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, view_id) = 1) b ON f.key = b.key"
     out += f", l0 AS MATERIALIZED ({pick.format(s='own')})"
     for i in range(rounds):
@@ -143,27 +143,34 @@ def _(t):
     return _labels(t)
 
 
-def _fill_sql(rounds):
-    out = f"{BEST}, ways AS MATERIALIZED (SELECT scene_id*1000+fid_a AS p, scene_id*1000+fid_b AS q FROM adjacency UNION ALL SELECT scene_id*1000+fid_b, scene_id*1000+fid_a FROM adjacency), fk AS (SELECT f.scene_id*1000+f.fid AS key, coalesce(b.possible, false) AS known, s.r, s.g, s.b FROM faces f LEFT JOIN best b ON f.scene_id*1000+f.fid = b.scene_id*1000+b.fid LEFT JOIN face_scores s ON (b.scene_id*1000+b.fid)*5+b.view_id = (s.scene_id*1000+s.fid)*5+s.view_id), d0 AS MATERIALIZED (SELECT key, r, g, b, 0 AS step FROM fk WHERE known)"
-    for i in range(rounds):
-        out += f", d{i+1} AS MATERIALIZED (SELECT * FROM d{i} UNION ALL SELECT w.p, avg(d.r), avg(d.g), avg(d.b), {i+1} FROM ways w JOIN d{i} d ON w.q = d.key WHERE w.p NOT IN (SELECT key FROM d{i}) GROUP BY w.p)"
-    return out + f", filled AS (SELECT f.key // 1000 AS scene_id, f.key % 1000 AS fid, coalesce(step, -1) AS step, floor(least(greatest(coalesce(d.r,145),0),255)+1e-9)::INT AS r, floor(least(greatest(coalesce(d.g,120),0),255)+1e-9)::INT AS g, floor(least(greatest(coalesce(d.b,90),0),255)+1e-9)::INT AS b FROM fk f LEFT JOIN d{rounds} d ON f.key = d.key)"
+def fill_sql(known, name="filled"):
+    """CTE ``filled`` for a table ``known`` (key, r, g, b) of faces that have a photo; needs RECURSIVE, ``ways`` (p, q) and ``fk`` (key).
+
+    A face's step is its least number of edges to a known face; its colour is the mean over the neighbours one step nearer.
+    """
+    return f"""reach AS (SELECT key, 0 AS step FROM {known} UNION SELECT w.p, step + 1 FROM reach JOIN ways w ON w.q = reach.key WHERE step < 64), far AS MATERIALIZED (SELECT key, min(step) AS step FROM reach GROUP BY 1),
+tint AS (SELECT key, 0 AS step, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM {known} UNION ALL SELECT f.key, f.step, avg(c.r), avg(c.g), avg(c.b) FROM tint c JOIN ways w ON w.q = c.key JOIN far f ON f.key = w.p AND f.step = c.step + 1 GROUP BY 1, 2),
+{name} AS MATERIALIZED (SELECT f.key // 1000 AS scene_id, f.key % 1000 AS fid, coalesce(step, -1) AS step, floor(least(greatest(coalesce(r,145),0),255))::INT AS r, floor(least(greatest(coalesce(g,120),0),255))::INT AS g, floor(least(greatest(coalesce(b,90),0),255))::INT AS b FROM fk f LEFT JOIN tint t ON f.key = t.key)"""
+
+
+FILL = f"""{BEST.replace('face_scores', 'holed_scores')}, ways AS MATERIALIZED (SELECT scene_id*1000+fid_a AS p, scene_id*1000+fid_b AS q FROM adjacency UNION ALL SELECT scene_id*1000+fid_b, scene_id*1000+fid_a FROM adjacency),
+fk AS (SELECT scene_id*1000+fid AS key FROM faces), kn AS MATERIALIZED (SELECT b.scene_id*1000+b.fid AS key, s.r, s.g, s.b FROM best b JOIN holed_scores s ON (b.scene_id*1000+b.fid)*5+b.view_id = (s.scene_id*1000+s.fid)*5+s.view_id WHERE possible), {fill_sql('kn')}"""
 
 
 def _face_colors(t):
-    best = X.best_view(t.face_scores, carry=("r", "g", "b"))
+    best = X.best_view(t.holed_scores, carry=("r", "g", "b"))
     return t.faces.select("scene_id", "fid").join(best, ["scene_id", "fid"], "left").select("scene_id", "fid", F.coalesce("possible", F.lit(False)).alias("known"), "r", "g", "b")
 
 
-@query("r3_diffuse_fill", f"WITH {_fill_sql(6)} SELECT scene_id, fid, step FROM filled")
+@query("r3_diffuse_fill", f"WITH RECURSIVE {FILL} SELECT scene_id, fid, step FROM filled")
 def _(t):
     return X.diffuse_fill(_face_colors(t), H.face_adjacency(t.faces)).select("scene_id", "fid", "step")
 
 
-@query("r3_fill_colors", f"WITH {_fill_sql(3)} SELECT scene_id, count(*) FILTER (step > 0) AS filled, count(*) FILTER (step < 0) AS unreached, round(avg(r), 0)::INT AS r FROM filled GROUP BY 1")
+@query("r3_fill_colors", f"WITH RECURSIVE {FILL} SELECT scene_id, count(*) FILTER (step > 0) AS filled, max(step) AS deepest, count(*) FILTER (step < 0) AS unreached, round(avg(r), 0)::INT AS r FROM filled GROUP BY 1")
 def _(t):
     out = X.diffuse_fill(_face_colors(t), H.face_adjacency(t.faces))
-    return out.groupBy("scene_id").agg(F.count_if(F.col("step") > 0).alias("filled"), F.count_if(F.col("step") < 0).alias("unreached"), F.round(F.avg("r"), 0).cast("int").alias("r"))
+    return out.groupBy("scene_id").agg(F.count_if(F.col("step") > 0).alias("filled"), F.max("step").alias("deepest"), F.count_if(F.col("step") < 0).alias("unreached"), F.round(F.avg("r"), 0).cast("int").alias("r"))
 
 
 @query("j18_apply_preferences", f"""WITH {BEST}, pk AS (SELECT s.scene_id*1000+s.fid AS key, arg_max(s.view_id, r.region_id) AS o FROM face_scores s JOIN regions r ON s.scene_id*5+s.view_id = r.scene_id*5+r.view_id WHERE s.score > 1e-6 AND s.fid % 40 >= x0 AND s.fid % 40 < x1 AND s.fid // 40 >= y0 AND s.fid // 40 < y1 GROUP BY 1)

@@ -35,15 +35,16 @@ def once(**cols: Column) -> Column:
     return F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
 
 
-def in_views(points: DataFrame, cameras: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def in_views(points: DataFrame, cameras: DataFrame, keep: tuple[str, ...] = (), want: str | None = None) -> DataFrame:
     """Every point in every view of its scene, with u, v and camera depth z_cam.
 
     The camera table has a few rows per scene; the join is on the scene, never a cross product of scenes.
-    ``keep`` names camera columns to carry along.
+    ``keep`` names camera columns to carry along. With ``want``, a column of ``points``, a point meets that view only.
     """
     cams, ext, k = flat_cameras(cameras, keep)
     pixel = M.project(F.col("x"), F.col("y"), F.col("z"), ext, k)
-    return points.join(cams, "scene_id").select(
+    on = ["scene_id"] if want is None else ["scene_id", want]
+    return points.join(cams if want is None else cams.withColumn(want, F.col("view_id")), on).select(
         *points.columns, "view_id", *keep, once(u=pixel["u"], v=pixel["v"], z_cam=pixel["z"]))
 
 

@@ -161,17 +161,30 @@ def apply_preferences(labels: DataFrame, picks: DataFrame) -> DataFrame:
     return labels.join(override, FACE, "left").select(*FACE, F.coalesce("_o", "label").alias("label"))
 
 
-def bake_texels(texels: DataFrame, labels: DataFrame, fallback: DataFrame, views: DataFrame, pixels: DataFrame) -> DataFrame:
+def with_gains(samples: DataFrame, gains: DataFrame | None, names: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Photo samples (scene_id, view_id and the colours ``names``) with each view's channel gains applied in linear light.
+
+    Without ``gains``, or for a view that has none, samples stay as they are.
+    """
+    if gains is None:
+        return samples
+    sides = gains.select("scene_id", "view_id", *[F.col(f"gain_{c}").alias(f"_g{c}") for c in "rgb"])
+    lit = {n: F.when(F.col(f"_g{c}").isNull(), F.col(n)).otherwise(K.srgb_encode(K.srgb_linear(F.col(n)) * F.col(f"_g{c}"))) for n, c in zip(names, "rgb")}
+    return samples.join(sides, ["scene_id", "view_id"], "left").withColumns(lit).drop("_gr", "_gg", "_gb")
+
+
+def bake_texels(texels: DataFrame, labels: DataFrame, fallback: DataFrame, views: DataFrame, pixels: DataFrame, gains: DataFrame | None = None) -> DataFrame:
     """Texel colour and source: the chosen view's bilinear sample where the point is valid there, else the fill.
 
     ``texels`` carry scene_id, tx, ty, fid; ``views`` the projected, tested texel points per view (u, v, valid,
-    mask_distance, score, w, h). Photo samples round, fill colours are whole already. Code 0 = no photo.
+    mask_distance, score, w, h) in the frame of ``pixels``. ``gains`` as in ``with_gains``. Photo samples round, fill colours
+    are whole already. Code 0 = no photo.
     """
     key = ["scene_id", "tx", "ty"]
     chosen = texels.select(*key, "fid").join(labels.where("label >= 0").withColumnRenamed("label", "view_id"), FACE).drop("fid")
     seen = views.where("valid").select(*key, "view_id", "u", "v", "w", "h", "mask_distance", "score")
     hit = chosen.join(seen, [*key, "view_id"])
-    hit = sample_bilinear_clamped(hit, pixels, ["r", "g", "b"], F.col("w"), F.col("h"))
+    hit = with_gains(sample_bilinear_clamped(hit, pixels, ["r", "g", "b"], F.col("w"), F.col("h")), gains, ("s_r", "s_g", "s_b"))
     hit = hit.select(*key, (F.col("view_id") + 1).alias("_code"), "mask_distance", "score",
                      *[F.rint(K.clip(F.col(f"s_{c}"), 0.0, 255.0)).cast("int").alias(f"_{c}") for c in "rgb"])
     out = texels.select(*key, "fid").join(hit, key, "left").join(fallback.select(*FACE, "r", "g", "b"), FACE, "left")
