@@ -57,7 +57,7 @@ SELECT scene_id, view_id,
    ELSE array(1e0,0e0,0e0,0e0, 0e0,8e-1,-6e-1,0e0, 0e0,6e-1,8e-1,4e0) END AS ext,
   array(focal,0e0,195e-1, 0e0,focal,145e-1, 0e0,0e0,1e0) AS k, CAST(40 AS INT) AS w, CAST(30 AS INT) AS h
 FROM (SELECT DISTINCT CAST(floor(s_suppkey / 10) AS BIGINT) AS scene_id, CAST(s_suppkey % 5 AS INT) AS view_id,
-  7013e-2 + floor(s_suppkey / 10) % 3 AS focal FROM supplier) c""")
+  7013e-2 + floor(s_suppkey / 10) % 3 AS focal FROM supplier) c""", stored=True)
 
 # Pixels of every view.
 bind("pixels", """
@@ -70,7 +70,7 @@ SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_suppkey % 5 AS
   395e-2 + sum(CAST(round(l_discount * 100) AS BIGINT)) / (1e2 * count(*)) AS depth,
   1e0 + sum(CAST(round(l_tax * 100) AS BIGINT)) * 5e-1 / count(*) AS confidence,
   CAST(sum(CAST(l_quantity AS BIGINT)) % 5 AS INT) AS label
-FROM lineitem GROUP BY 1, 2, 3, 4""")
+FROM lineitem GROUP BY 1, 2, 3, 4""", stored=True)
 
 # The photos at twice the size, with grey masks, and cameras that know both sizes.
 bind("full_pixels", """
@@ -89,7 +89,7 @@ SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_suppkey % 5 AS
   sum(CAST(round(l_discount * 100) AS BIGINT)) * 255e-1 / count(*) AS g,
   sum(CAST(round(l_tax * 100) AS BIGINT)) * 31875e-3 / count(*) AS b,
   sum(CAST(l_quantity AS BIGINT)) % 3 <> 0 AS mask
-FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2, 3, 4""")
+FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1, 2, 3, 4""", stored=True)
 
 # Lattice mesh of every scene.
 bind("vertices", """
@@ -97,7 +97,7 @@ SELECT scene_id, CAST(i * 11 + j AS BIGINT) AS vid, (i - 255e-1) / 25e0 AS x, (j
   (cents / (n * 1e7) - 5e-1) / 713e-2 AS z
 FROM (SELECT CAST(floor(l_suppkey / 10) AS BIGINT) AS scene_id, CAST(l_quantity AS INT) AS i,
   CAST(round(l_discount * 100) AS INT) AS j, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, count(*) AS n
-  FROM lineitem GROUP BY 1, 2, 3) g""")
+  FROM lineitem GROUP BY 1, 2, 3) g""", stored=True)
 
 # Two triangles per lattice cell whose corners all exist.
 bind("corners", """
@@ -110,7 +110,7 @@ FROM (SELECT scene_id, CAST((floor(vid / 11) * 10 + vid % 11) * 2 AS BIGINT) AS
       FROM vertices WHERE vid % 11 < 10 AND vid < 550) f
 JOIN vertices a ON f.scene_id * 1000 + f.v0 = a.scene_id * 1000 + a.vid
 JOIN vertices b ON f.scene_id * 1000 + f.v1 = b.scene_id * 1000 + b.vid
-JOIN vertices c ON f.scene_id * 1000 + f.v2 = c.scene_id * 1000 + c.vid""")
+JOIN vertices c ON f.scene_id * 1000 + f.v2 = c.scene_id * 1000 + c.vid""", stored=True)
 
 bind("faces", "SELECT scene_id, fid, v0, v1, v2, completion FROM corners")
 
@@ -125,12 +125,12 @@ SELECT scene_id, fid, least(v2, v0) AS va, greatest(v2, v0) AS vb FROM faces""")
 
 bind("adjacency", """
 SELECT p.scene_id, p.fid AS fid_a, q.fid AS fid_b, p.va, p.vb FROM half_edges p JOIN half_edges q
-ON (p.scene_id * 1000 + p.va) * 1000 + p.vb = (q.scene_id * 1000 + q.va) * 1000 + q.vb AND p.fid < q.fid""")
+ON (p.scene_id * 1000 + p.va) * 1000 + p.vb = (q.scene_id * 1000 + q.va) * 1000 + q.vb AND p.fid < q.fid""", stored=True)
 
 # Scores and colours of every face in every view that shows it: the face reads one pixel per view.
 bind("face_scores", """
 SELECT f.scene_id, f.fid, p.view_id, CASE WHEN p.mask THEN p.r / 250e0 ELSE 0e0 END AS score, p.r, p.g, p.b
-FROM faces f JOIN pixels p ON f.scene_id * 1200 + f.fid = p.scene_id * 1200 + p.y * 40 + p.x""")
+FROM faces f JOIN pixels p ON f.scene_id * 1200 + f.fid = p.scene_id * 1200 + p.y * 40 + p.x""", stored=True)
 
 # The same scores with a band of faces that no view shows: holes many faces deep.
 bind("holed_scores", """
@@ -140,7 +140,7 @@ SELECT scene_id, fid, view_id, CASE WHEN floor(fid / 20) % 30 BETWEEN 6 AND 27 T
 bind("vertex_support", """
 SELECT v.scene_id, v.vid, p.view_id, p.r / 250e0 AS score, p.r, p.g, p.b
 FROM vertices v JOIN pixels p ON v.scene_id * 1200 + v.vid = p.scene_id * 1200 + p.y * 40 + p.x
-WHERE p.depth > 396e-2""")
+WHERE p.depth > 396e-2""", stored=True)
 
 # UV atlas of 256 x 64 texels per scene.
 bind("uv_corners", """
@@ -166,7 +166,7 @@ bind("matches", """
 SELECT a.scene_id, a.view_id AS view_a, b.view_id AS view_b, CAST(a.y * 40 + a.x AS BIGINT) AS match_id,
   CAST(a.x AS DOUBLE) AS xa, CAST(a.y AS DOUBLE) AS ya, a.x + (b.r - a.r) / 1e2 AS xb, a.y + (b.g - a.g) / 1e2 AS yb
 FROM pixels a JOIN pixels b ON ((a.scene_id * 5 + (a.view_id + 1) % 5) * 30 + a.y) * 40 + a.x = ((b.scene_id * 5 + b.view_id) * 30 + b.y) * 40 + b.x
-WHERE a.mask AND b.mask""")
+WHERE a.mask AND b.mask""", stored=True)
 
 bind("regions", """
 SELECT c.scene_id, n.n_nationkey AS region_id, c.view_id, CAST(n.n_nationkey AS INT) AS x0, CAST(n.n_regionkey * 4 AS INT) AS y0,

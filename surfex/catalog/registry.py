@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut_lineage
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,9 +21,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 BINDINGS: dict[str, str] = {}
 
+#: Bindings that many steps read: each is written once per session, folder and text of its statement.
+STORED: set[str] = set()
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
 
-def bind(name: str, sql: str) -> None:
+def bind(name: str, sql: str, stored: bool = False) -> None:
     BINDINGS[name] = sql
+    if stored:
+        STORED.add(name)
 
 
 def _reads(sql: str, name: str) -> bool:
@@ -47,7 +55,14 @@ class Tables:
                 inputs = [n for n in (*TABLES, *BINDINGS) if _reads(sql, n)]
                 for n in inputs:
                     sql = re.sub(rf"(?i)\b(FROM|JOIN)\s+{n}\b", r"\1 {" + n + "}", sql)
-                self.cache[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in inputs})
+                key = (self.spark.sparkContext.applicationId, self.folder, with_bindings(f"SELECT * FROM {name}"))
+                if key not in _TABLES:
+                    frame = self.spark.sql(sql, **{n: getattr(self, n) for n in inputs})
+                    if name in STORED:
+                        frame = _TABLES[key] = cut_lineage(frame)
+                    self.cache[name] = frame
+                else:
+                    self.cache[name] = _TABLES[key]
             else:
                 raise AttributeError(name)
         return self.cache[name]

@@ -101,53 +101,84 @@ def exposure_gains(pairs: DataFrame, views: DataFrame) -> DataFrame:
     return views.select("scene_id", "view_id").join(solved, ["scene_id", "view_id"], "left").na.fill(1.0, ["gain_r", "gain_g", "gain_b"])
 
 
+def _with_neighbours(faces: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """One row per face with the list ``near`` of its neighbours; a face has at most three, since an edge joins two faces."""
+    near = both_ways(adjacency).groupBy(*FACE).agg(F.sort_array(F.collect_list("neighbour")).alias("near"))
+    return faces.join(near, FACE, "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+
+
+def _exchange(state: DataFrame, message: Column, sends: Column | None = None) -> DataFrame:
+    """``state`` (scene_id, fid, s struct with ``near``) with the messages that each face's neighbours send it: scene_id, fid, s, got.
+
+    One pass turns a row into itself and its messages, and one grouped pass brings both together: a round reads its input
+    once, shuffles once and joins nothing. Rows whose ``sends`` is not true send nothing.
+    """
+    kind, note = state.schema["s"].dataType, state.select(message.alias("m")).schema["m"].dataType
+    own = F.struct(F.col("fid"), F.col("s"), F.lit(None).cast(note).alias("m"))
+    near = F.col("s.near") if sends is None else F.when(sends, F.col("s.near")).otherwise(F.array().cast("array<long>"))
+    mail = F.transform(near, lambda n: F.struct(n.alias("fid"), F.lit(None).cast(kind).alias("s"), message.alias("m")))
+    rows = state.select("scene_id", F.inline(F.concat(F.array(own), mail)))
+    return rows.groupBy(*FACE).agg(F.first("s", ignorenulls=True).alias("s"), F.sort_array(F.collect_list("m")).alias("got")).where("s IS NOT NULL")
+
+
 def smooth_labels(scores: DataFrame, adjacency: DataFrame, faces: DataFrame, rounds: int = 8) -> DataFrame:
     """Labels after synchronous rounds of score + 0.10 x (neighbours with that label).
 
     Only views with a score above 1e-6 compete. A face without any votes as view 0 during the rounds and becomes -1
-    only afterwards. Each round: votes are counted per (face, label) and added to the face's own scores in one
-    grouped sum; every step is pre-aggregated.
+    only afterwards. A face is one row with its scores and neighbours; a round sends labels to neighbours and is one shuffle.
     """
-    own = cut_lineage(scores.where(F.col("score") > 1e-6).select(*FACE, "view_id", "score"))
-    ways = cut_lineage(both_ways(adjacency))
-    seen = best_view(own).select(*FACE, F.col("view_id").alias("label"))
-    # Faces without any usable view take no part in the choice: their label stays 0 in every round.
-    fixed = cut_lineage(faces.select(*FACE).join(own.select(*FACE).distinct(), FACE, "left_anti").withColumn("label", F.lit(0)))
-    labels = seen.unionByName(fixed)
-    for turn in range(rounds):
-        votes = ways.join(labels.withColumnRenamed("fid", "neighbour"), ["scene_id", "neighbour"]) \
-            .groupBy(*FACE, F.col("label").alias("view_id")).agg(F.count("*").alias("_votes"))
-        total = own.join(votes, [*FACE, "view_id"], "left").select(
-            *FACE, "view_id", (F.col("score") + F.coalesce("_votes", F.lit(0)) * 0.1).alias("score"))
-        labels = best_view(total).select(*FACE, F.col("view_id").alias("label"))
-        if turn % 4 == 3 and turn + 1 < rounds:
-            labels = cut_lineage(labels)
-        seen, labels = labels, labels.unionByName(fixed)
-    return seen.unionByName(fixed.withColumn("label", F.lit(-1)))
+    own = scores.where(F.col("score") > 1e-6).groupBy(*FACE).agg(F.sort_array(F.collect_list(F.struct("view_id", "score"))).alias("views"))
+    rows = _with_neighbours(faces.select(*FACE), adjacency).join(own, FACE, "left")
+
+    def best(views: Column, got: Column | None) -> Column:
+        votes = (lambda v: F.lit(0)) if got is None else (lambda v: F.size(F.filter(got, lambda m: m == v)))
+        top = F.array_max(F.transform(views, lambda v: F.struct((v["score"] + votes(v["view_id"]) * 0.1).alias("score"), (-v["view_id"]).alias("n"))))
+        return F.coalesce(-top["n"], F.lit(0))
+
+    state = rows.select(*FACE, F.struct("views", "near", best(F.col("views"), None).alias("label")).alias("s"))
+    for _ in range(rounds):
+        met = _exchange(state, F.col("s.label"))
+        state = met.select(*FACE, F.struct("s.views", "s.near", best(F.col("s.views"), F.col("got")).alias("label")).alias("s"))
+    return state.select(*FACE, F.when(F.col("s.views").isNull(), -1).otherwise(F.col("s.label")).alias("label"))
+
+
+def _mean(channel: str) -> Column:
+    return (F.aggregate("got", F.lit(0.0), lambda total, m: total + m[channel]) / F.size("got")).alias(channel)
 
 
 def diffuse_fill(colors: DataFrame, adjacency: DataFrame, rounds: int = 64) -> DataFrame:
     """Give faces without a photo the mean colour of their known neighbours, round by round.
 
     Input (scene_id, fid, known, r, g, b). Synchronous; stops when no new face is reached; faces never reached keep
-    the fallback colour. The result truncates to whole values. Only edges of faces that lacked a photo at the start are
-    joined; a face is filled in the round after its first neighbour became known, and all neighbours known by then count.
+    the fallback colour. The result truncates to whole values. A face is filled in the round after its first neighbour became
+    known, so only faces filled in the round before send their colour, and only faces that lacked a photo are shuffled. Eight rounds
+    make one job.
     """
-    ways = cut_lineage(both_ways(adjacency))
-    done = cut_lineage(colors.where("known").select(*FACE, "r", "g", "b", F.lit(0).alias("step")))
-    todo = cut_lineage(colors.where("NOT known").select(*FACE))
-    near = ways.join(todo, FACE)
-    for turn in range(1, rounds + 1):
-        source = done.select("scene_id", F.col("fid").alias("neighbour"), "r", "g", "b")
-        new = near.join(source, ["scene_id", "neighbour"]).groupBy(*FACE).agg(*[F.avg(c).alias(c) for c in "rgb"])
-        new = cut_lineage(new.join(done.select(*FACE), FACE, "left_anti").withColumn("step", F.lit(turn)))
-        if new.isEmpty():
+    rows = cut_lineage(_with_neighbours(colors.select(*FACE, "known", *[F.col(c).cast("double").alias(c) for c in "rgb"]), adjacency))
+    start = rows.where("known").select(*FACE, F.lit(0).alias("step"), "r", "g", "b")
+    none = [F.lit(None).cast("double").alias(c) for c in "rgb"]
+    fresh = rows.where("known").select(*FACE, F.struct("near", F.lit(0).alias("step"), "r", "g", "b").alias("s"))
+    waiting = rows.where("NOT known").select(*FACE, F.struct("near", F.lit(None).cast("int").alias("step"), *none).alias("s"))
+    filled = []
+    for first in range(1, rounds + 1, 8):
+        state = waiting.unionByName(fresh)
+        for turn in range(first, min(first + 8, rounds + 1)):
+            met = _exchange(state, F.struct("s.r", "s.g", "s.b"), F.col("s.step") == turn - 1)
+            mean = [_mean(c) for c in "rgb"]
+            new = F.col("s.step").isNull() & (F.size("got") > 0)
+            state = met.select(*FACE, F.when(new, F.struct("s.near", F.lit(turn).alias("step"), *mean)).otherwise(F.col("s")).alias("s"))
+            if turn == first:  # faces with a photo have sent their colours
+                state = state.where(F.col("s.step").isNull() | (F.col("s.step") == turn))
+        done = cut_lineage(state)
+        filled.append(done.where("s.step IS NOT NULL").select(*FACE, "s.step", "s.r", "s.g", "s.b"))
+        last = min(first + 7, rounds)
+        fresh, waiting = done.where(F.col("s.step") == last), done.where("s.step IS NULL")
+        if fresh.isEmpty():
             break
-        done = done.unionByName(new)
-        if turn % 8 == 0:
-            done = cut_lineage(done)
+    for part in filled:
+        start = start.unionByName(part)
     base = K.FALLBACK_RGB
-    return colors.select(*FACE).join(done, FACE, "left").select(
+    return colors.select(*FACE).join(start, FACE, "left").select(
         *FACE, F.coalesce("step", F.lit(-1)).alias("step"),
         *[F.floor(K.clip(F.coalesce(F.col(c), F.lit(float(v))), 0.0, 255.0)).cast("int").alias(c) for c, v in zip("rgb", base)])
 
