@@ -101,10 +101,21 @@ def _(t):
     return _field(t).select("scene_id", "i", "j", "k", rounded(F.col("hull"), "hull"))
 
 
-@query("r5_extract_surface")
+_TETS = ", ".join(f"({n}, [{', '.join(map(str, tet))}])" for n, tet in enumerate(U.TETRAHEDRA))
+
+
+@query("r5_extract_surface", f"""WITH {VOTES}, {SPEC}, {EVIDENCE}, {FIELD}, g AS MATERIALIZED (SELECT f.scene_id, i, j, k_, field, s.ny, s.nz, ((f.scene_id*100+i)*100+j)*100+k_ AS key FROM fd f JOIN spec s ON f.scene_id = s.scene_id),
+cu AS (SELECT a.*, {', '.join(f'g{b}.field AS f{b}' for b in range(1, 8))} FROM g a {' '.join(f'JOIN g g{b} ON a.key + {(b & 1) * 10000 + (b >> 1 & 1) * 100 + (b >> 2)} = g{b}.key' for b in range(1, 8))}),
+ca AS (SELECT scene_id, ny, nz, (i*ny+j)*nz+k_ AS n0, [field, {', '.join(f'f{b}' for b in range(1, 8))}] AS f FROM cu),
+te AS (SELECT ca.*, tid, list_filter(tet, lambda c: f[c+1] < 0) AS lo, list_filter(tet, lambda c: f[c+1] >= 0) AS hi FROM ca, (VALUES {_TETS}) v(tid, tet)),
+tr AS (SELECT scene_id, n0, ny, nz, tid, unnest(CASE len(lo) WHEN 1 THEN [[[lo[1], hi[1]], [lo[1], hi[2]], [lo[1], hi[3]]]] WHEN 3 THEN [[[lo[1], hi[1]], [lo[2], hi[1]], [lo[3], hi[1]]]]
+  ELSE [[[lo[1], hi[1]], [lo[1], hi[2]], [lo[2], hi[2]]], [[lo[1], hi[1]], [lo[2], hi[2]], [lo[2], hi[1]]]] END) AS t, generate_subscripts(CASE len(lo) WHEN 2 THEN [0, 1] ELSE [0] END, 1) - 1 AS half FROM te WHERE len(lo) BETWEEN 1 AND 3),
+ve AS (SELECT scene_id, n0*12+tid*2+half AS fid, list_sort(list_transform(t, lambda e: (n0 + (least(e[1], e[2]) & 1)*ny*nz + (least(e[1], e[2]) >> 1 & 1)*nz + (least(e[1], e[2]) >> 2))*8 + greatest(e[1], e[2]) - least(e[1], e[2]))) AS v FROM tr)
+SELECT scene_id, fid::BIGINT AS fid, v[1]::BIGINT AS low_vertex, v[2]::BIGINT AS middle_vertex, v[3]::BIGINT AS high_vertex FROM ve""")
 def _(t):
     faces, _ = U.extract_surface(_field(t), _spec(t))
-    return faces
+    v = F.sort_array(F.array("v0", "v1", "v2"))
+    return faces.select("scene_id", "fid", v[0].alias("low_vertex"), v[1].alias("middle_vertex"), v[2].alias("high_vertex"))
 
 
 @query("r5_lattice_crossings", f"""WITH {VOTES}, {SPEC}, {EVIDENCE}, {FIELD}, g AS MATERIALIZED (SELECT f.*, s.ny, s.nz, ((f.scene_id*100+i)*100+j)*100+k_ AS key, ((i*s.ny+j)*s.nz+k_)*8 AS node FROM fd f JOIN spec s ON f.scene_id = s.scene_id)
