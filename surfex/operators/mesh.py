@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,38 +76,118 @@ def vertex_normals(metrics: DataFrame) -> DataFrame:
     return sums.select("scene_id", "vid", *[(F.col(f"_{a}") / size).alias(f"n{a}") for a in "xyz"])
 
 
-def components(adjacency: DataFrame, faces: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected parts of the face graph: (scene_id, fid, component), component = lowest face id of the part.
-
-    Alternating large-star and small-star steps; each is one pre-aggregated minimum and one join, and the number of
-    rounds grows with the logarithm of the part size. A face in a crowded star only adds rows to the aggregation.
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) and, for each, the smallest node of its connected part among these edges alone."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = ends[:len(a)], ends[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[p], root[q])
+        step = root.copy()
+        for side in (root[p], root[q], p, q):
+            np.minimum.at(step, side, low)
+        while True:
+            jump = step[step]
+            if (jump == step).all():
+                break
+            step = jump
+        if (step == root).all():
+            return nodes, nodes[root]
+        root = step
+
+
+def _contract(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            edges = pa.Table.from_batches(held)
+            scene, a, b = (edges[c].to_numpy() for c in ("scene_id", "a", "b"))
+            for s in np.unique(scene):
+                nodes, root = local_roots(a[scene == s], b[scene == s])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), s, np.int64)), pa.array(nodes), pa.array(root)], names=["scene_id", "node", "root"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= chunk:
+                yield from settle()
+                held, rows = [], 0
+        if rows:
+            yield from settle()
+
+    return run
+
+
+def _contracted(edges: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(scene_id, node, parent) for every node of ``edges``, and the edges (scene_id, a, b) between parents that are left.
+
+    Tasks take runs of the edges in (a, b) order, so that a node with very many edges is dealt over many tasks, and find the
+    parts of ``chunk`` edges at a time. A node's parent is the least root that any of them gives it; roots that share a node,
+    and a root that has a parent itself, are edges of a smaller graph.
     """
-    edges = adjacency.select("scene_id", F.col("fid_a").alias("a"), F.col("fid_b").alias("b")).distinct()
-    edges = cut_lineage(edges)
+    found = cut_lineage(edges.repartitionByRange("scene_id", "a", "b").mapInArrow(_contract(chunk), "scene_id long, node long, root long"))
+    parent = cut_lineage(found.groupBy("scene_id", "node").agg(F.min("root").alias("parent")))
+    met = found.join(parent, ["scene_id", "node"])
+    root = met.select("scene_id", F.col("root").alias("a"), F.col("parent").alias("b")).where("a <> b")
+    own = parent.join(found.select("scene_id", F.col("root").alias("node")).distinct(), ["scene_id", "node"], "left_semi").select("scene_id", F.col("node").alias("a"), F.col("parent").alias("b")).where("a <> b")
+    left = root.unionByName(own).select("scene_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return parent, cut_lineage(left)
+
+
+def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(scene_id, node, root) of ``edges`` by alternating large-star and small-star steps until nothing changes."""
     before = None
     for _ in range(max_rounds):
         last = edges
         both = edges.unionByName(edges.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("scene_id", "a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
-        large = both.where("b > a").join(low, ["scene_id", "a"]).select(
-            "scene_id", F.col("b").alias("a"), F.col("_m").alias("b"))
-        down = large.where("a <> b").select("scene_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = down.groupBy("scene_id", "a").agg(F.min("b").alias("_m"))
-        joined = down.join(low, ["scene_id", "a"])
+        low = cut_lineage(both.groupBy("scene_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("_m")))
+        # Both sides are written tables, so adaptive execution can split a hub.
+        large = both.where("b > a").join(low, ["scene_id", "a"]).select("scene_id", F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b")
+        down = cut_lineage(large.select("scene_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        least = cut_lineage(down.groupBy("scene_id", "a").agg(F.min("b").alias("_m")))
         pairs = F.array(F.struct(F.col("a").alias("p"), F.col("_m").alias("q")), F.struct(F.col("b").alias("p"), F.col("_m").alias("q")))
-        edges = cut_lineage(joined.select("scene_id", F.explode(pairs).alias("_e"))
-                            .select("scene_id", F.col("_e.p").alias("a"), F.col("_e.q").alias("b"))
-                            .where("a <> b").distinct())
+        edges = cut_lineage(down.join(least, ["scene_id", "a"]).select("scene_id", F.explode(pairs).alias("_e"))
+                            .select("scene_id", F.least("_e.p", "_e.q").alias("a"), F.greatest("_e.p", "_e.q").alias("b")).where("a <> b").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("scene_id", "a", "b").cast("decimal(38,0)")).alias("h")).first()
-        drop_cut(last)  # the next round reads ``edges`` alone
+        for spent in (last, low, down, least):
+            drop_cut(spent)
         if before == state:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
-    root = edges.groupBy("scene_id", F.col("a").alias("fid")).agg(F.min("b").alias("_root"))
-    return faces.select("scene_id", "fid").join(root, ["scene_id", "fid"], "left").select(
-        "scene_id", "fid", F.coalesce("_root", "fid").alias("component"))
+    return edges.groupBy("scene_id", F.col("b").alias("node")).agg(F.min("a").alias("root"))
+
+
+def components(adjacency: DataFrame, faces: DataFrame, max_rounds: int = 60, chunk: int = 1_000_000) -> DataFrame:
+    """Connected parts of the face graph: (scene_id, fid, component), component = lowest face id of the part.
+
+    The graph is contracted, level by level: tasks settle the parts of ``chunk`` edges at a time, and only roots that several
+    of them gave to one face go on. Once a level is not half as large as the one before, star steps finish the rest. The
+    answers return down the levels, one join each; a level has one row per face.
+    """
+    edges = cut_lineage(adjacency.select("scene_id", F.least("fid_a", "fid_b").alias("a"), F.greatest("fid_a", "fid_b").alias("b")).where("a <> b").distinct())
+    levels, n = [], edges.count()
+    while n:
+        parent, left = _contracted(edges, chunk)
+        levels.append(parent)
+        drop_cut(edges)
+        edges, before, n = left, n, left.count()
+        if n and 2 * n > before:
+            levels.append(_stars(edges, max_rounds).select("scene_id", "node", F.col("root").alias("parent")))
+            break
+    out = None
+    for parent in reversed(levels):
+        if out is None:
+            out = parent
+        else:
+            above = out.select("scene_id", F.col("node").alias("parent"), F.col("parent").alias("_up"))
+            out = cut_lineage(parent.join(above, ["scene_id", "parent"], "left").select("scene_id", "node", F.coalesce("_up", "parent").alias("parent")))
+    if out is None:
+        return faces.select("scene_id", "fid", F.col("fid").alias("component"))
+    return faces.select("scene_id", "fid").join(out.withColumnRenamed("node", "fid"), ["scene_id", "fid"], "left").select(
+        "scene_id", "fid", F.coalesce("parent", "fid").alias("component"))
 
 
 def rank_components(parts: DataFrame) -> DataFrame:
@@ -229,8 +312,8 @@ def taubin(vertices: DataFrame, edges: DataFrame, iterations: int = 3, shrink: f
     ``edges``: undirected (scene_id, va, vb). ``iterations`` counts single moves, so three moves are in, out, in.
     """
     ends = F.array(F.struct(F.col("va").alias("vid"), F.col("vb").alias("other")), F.struct(F.col("vb").alias("vid"), F.col("va").alias("other")))
-    ways = edges.select("scene_id", "va", "vb").distinct().select("scene_id", F.explode(ends).alias("_e")).select("scene_id", "_e.*")
-    out = vertices.select("scene_id", "vid", "x", "y", "z")
+    ways = cut_lineage(edges.select("scene_id", "va", "vb").distinct().select("scene_id", F.explode(ends).alias("_e")).select("scene_id", "_e.*"))
+    out = cut_lineage(vertices.select("scene_id", "vid", "x", "y", "z"))
     for step in range(iterations):
         factor = shrink if step % 2 == 0 else -grow
         other = out.select("scene_id", F.col("vid").alias("other"), *[F.col(a).alias(f"_{a}") for a in "xyz"])
@@ -238,8 +321,8 @@ def taubin(vertices: DataFrame, edges: DataFrame, iterations: int = 3, shrink: f
         whole = lambda a: F.round(F.col(f"_{a}") * 1e12).cast("decimal(38,0)")
         mean = ways.join(other, ["scene_id", "other"]).groupBy("scene_id", "vid").agg(
             *[(F.sum(whole(a)).cast("double") / F.count("*") / 1e12).alias(f"_{a}") for a in "xyz"])
-        out = out.join(mean, ["scene_id", "vid"], "left").select(
-            "scene_id", "vid", *[(F.col(a) + F.coalesce(F.col(f"_{a}") - F.col(a), F.lit(0.0)) * factor).alias(a) for a in "xyz"])
+        out = cut_lineage(out.join(mean, ["scene_id", "vid"], "left").select(
+            "scene_id", "vid", *[(F.col(a) + F.coalesce(F.col(f"_{a}") - F.col(a), F.lit(0.0)) * factor).alias(a) for a in "xyz"]))
     return out
 
 
