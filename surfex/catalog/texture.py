@@ -120,7 +120,17 @@ def _(t):
     return _pairs(t).select("scene_id", "view_i", "view_j", "faces", *[rounded(F.col(f"log_{c}"), f"log_{c}") for c in "rgb"])
 
 
-@query("g21_exposure_gains")
+GAINS = f"""{PAIRS}, nv AS (SELECT scene_id, view_i AS i, view_j AS j, lr, lg, lb FROM pr), ent AS (SELECT scene_id, i AS r, i AS c, 1.0::DOUBLE AS v FROM nv UNION ALL SELECT scene_id, j, j, 1.0 FROM nv UNION ALL SELECT scene_id, i, j, -1.0 FROM nv UNION ALL SELECT scene_id, j, i, -1.0 FROM nv
+ UNION ALL SELECT scene_id, i, 5, lr FROM nv UNION ALL SELECT scene_id, j, 5, -lr FROM nv UNION ALL SELECT scene_id, i, 6, lg FROM nv UNION ALL SELECT scene_id, j, 6, -lg FROM nv UNION ALL SELECT scene_id, i, 7, lb FROM nv UNION ALL SELECT scene_id, j, 7, -lb FROM nv
+ UNION ALL SELECT scene_id, n, n, 1e-9 + CASE WHEN n = 0 THEN 100 ELSE 0 END FROM (SELECT DISTINCT scene_id FROM nv), (SELECT unnest(generate_series(0, 4)) AS n)),
+sp0 AS (SELECT * FROM (SELECT DISTINCT scene_id FROM nv), (SELECT unnest(generate_series(0, 4)) AS r), (SELECT unnest(generate_series(0, 7)) AS c)), sy AS (SELECT s.scene_id, s.r, s.c, coalesce(sum(v), 0) AS v FROM sp0 s LEFT JOIN ent e ON s.scene_id = e.scene_id AND s.r = e.r AND s.c = e.c GROUP BY 1,2,3),
+mx AS (SELECT scene_id, list(row ORDER BY r) AS m FROM (SELECT scene_id, r, list(v ORDER BY c) AS row FROM sy GROUP BY 1, 2) GROUP BY 1),
+el AS (SELECT scene_id, 0 AS k, m FROM mx UNION ALL SELECT scene_id, k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / row[k+1]) ELSE list_transform(row, lambda v, q: v - row[k+1] * m[k+1][q] / m[k+1][k+1]) END) FROM el WHERE k < 5),
+gn AS (SELECT scene_id, unnest(generate_series(0, 4)) AS view_id, m FROM el WHERE k = 5), gains AS (SELECT c.scene_id, c.view_id, {', '.join(f"CASE WHEN u.scene_id IS NULL THEN 1 ELSE least(greatest(exp(g.m[c.view_id+1][{6 + q}]), 0.65), 1.6) END AS gain_{c}" for q, c in enumerate('rgb'))}
+ FROM cameras c LEFT JOIN gn g ON c.scene_id = g.scene_id AND c.view_id = g.view_id LEFT JOIN (SELECT scene_id, i AS view_id FROM nv UNION SELECT scene_id, j FROM nv) u ON c.scene_id = u.scene_id AND c.view_id = u.view_id)"""
+
+
+@query("g21_exposure_gains", f"WITH RECURSIVE {GAINS} SELECT scene_id, view_id, {', '.join(r6(f'gain_{c}', f'gain_{c}') for c in 'rgb')} FROM gains")
 def _(t):
     return X.exposure_gains(_pairs(t), t.cameras).select("scene_id", "view_id", *[rounded(F.col(f"gain_{c}"), f"gain_{c}") for c in "rgb"])
 

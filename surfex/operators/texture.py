@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,33 +70,40 @@ def exposure_pairs(scores: DataFrame, least_faces: int = 200) -> DataFrame:
     return wide.join(sized, pair)
 
 
-def _scene_solver():
-    """The solve of one scene; a nested function travels to the workers by value."""
-    def solve(pairs: pd.DataFrame) -> pd.DataFrame:
-        views = np.unique(np.concatenate([pairs["view_i"], pairs["view_j"], [0]]))
-        at = {v: i for i, v in enumerate(views)}
-        design = np.zeros((len(pairs) + 1, len(views)))
-        for row, (i, j) in enumerate(zip(pairs["view_i"], pairs["view_j"])):
-            design[row, at[i]], design[row, at[j]] = 1.0, -1.0
-        design[-1, at[0]] = 10.0
-        target = np.vstack([pairs[["log_r", "log_g", "log_b"]].to_numpy(), np.zeros((1, 3))])
-        found = np.linalg.lstsq(design, target, rcond=None)[0]
-        out = pd.DataFrame(np.clip(np.exp(found), 0.65, 1.6), columns=["gain_r", "gain_g", "gain_b"])
-        out = out.assign(scene_id=pairs["scene_id"].iloc[0], view_id=views)
-        return out[["scene_id", "view_id", "gain_r", "gain_g", "gain_b"]]
+def _solve(matrix: Column, size: int) -> Column:
+    """Gauss-Jordan elimination of the augmented ``matrix`` array<array<double>> of ``size`` rows; its pivots are positive."""
+    def step(m: Column, k: Column) -> Column:
+        lead = F.transform(m[k], lambda v: v / m[k][k])
+        return F.transform(m, lambda row, i: F.when(i == k, lead).otherwise(F.zip_with(row, lead, lambda v, p: v - row[k] * p)))
 
-    return solve
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, step)
 
 
-def exposure_gains(pairs: DataFrame, views: DataFrame) -> DataFrame:
+def exposure_gains(pairs: DataFrame, views: DataFrame, most_views: int = 12) -> DataFrame:
     """Per-view channel gains: least squares on the pair differences with view 0 anchored at weight 10.
 
-    A task admits 3 to 12 photos, so a scene's pair table has at most 66 rows; each scene is one small solve. Log gains
-    are exponentiated and clipped to .65 - 1.6; views without a pair keep gain 1.
+    A task admits 3 to 12 photos, numbered from 0; a view from ``most_views`` on is an error. The normal equations are sums
+    over a scene's pairs, and the elimination is an expression over the one row that holds them. Views that no pair connects to
+    view 0 get the solution of least norm, by a ridge of 1e-9. Log gains are exponentiated and clipped to .65 - 1.6; views
+    without a pair keep gain 1.
     """
-    schema = "scene_id long, view_id int, gain_r double, gain_g double, gain_b double"
-    solved = pairs.select("scene_id", "view_i", "view_j", "log_r", "log_g", "log_b").groupBy("scene_id").applyInPandas(_scene_solver(), schema)
-    return views.select("scene_id", "view_id").join(solved, ["scene_id", "view_id"], "left").na.fill(1.0, ["gain_r", "gain_g", "gain_b"])
+    n, channels = most_views, ("log_r", "log_g", "log_b")
+    i, j = F.col("view_i"), F.col("view_j")
+    high = F.raise_error(F.lit(f"a scene has a view above {n - 1}")).cast("int")
+    p = pairs.withColumns({"view_i": F.when(F.greatest(i, j) < n, i).otherwise(high)})
+    # Entries of the normal matrix and of its three right sides, summed per place.
+    one = F.lit(1.0)
+    places = F.array(*[F.struct(r.alias("r"), c.alias("c"), v.alias("v")) for r, c, v in (
+        (i, i, one), (j, j, one), (i, j, -one), (j, i, -one), *[(i, F.lit(n + q), F.col(t)) for q, t in enumerate(channels)], *[(j, F.lit(n + q), -F.col(t)) for q, t in enumerate(channels)])])
+    sums = p.select("scene_id", F.inline(places)).groupBy("scene_id", "r", "c").agg(F.sum("v").alias("v"))
+    system = sums.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * (n + 3) + F.col("c")).alias("at"), "v"))).alias("m"))
+    start = lambda r, c: F.when(r != c, 0.0).otherwise(F.when(r == 0, 100.0 + 1e-9).otherwise(1e-9))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(n + 2)), lambda c: start(r, c) + F.coalesce(F.try_element_at("m", r * (n + 3) + c), F.lit(0.0))))
+    solved = system.select("scene_id", rows.alias("a")).select("scene_id", F.posexplode(_solve(F.col("a"), n)).alias("view_id", "row"))
+    found = solved.select("scene_id", "view_id", *[F.least(F.greatest(F.exp(F.col("row")[n + q]), F.lit(0.65)), F.lit(1.6)).alias(f"gain_{c}") for q, c in enumerate("rgb")])
+    met = p.select("scene_id", F.explode(F.array("view_i", "view_j")).alias("view_id")).distinct()
+    found = found.join(met, ["scene_id", "view_id"], "left_semi")
+    return views.select("scene_id", "view_id").join(found, ["scene_id", "view_id"], "left").na.fill(1.0, ["gain_r", "gain_g", "gain_b"])
 
 
 def _with_neighbours(faces: DataFrame, adjacency: DataFrame) -> DataFrame:
