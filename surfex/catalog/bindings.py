@@ -136,6 +136,10 @@ FROM faces f JOIN pixels p ON f.scene_id * 1200 + f.fid = p.scene_id * 1200 + p.
 bind("holed_scores", """
 SELECT scene_id, fid, view_id, CASE WHEN floor(fid / 20) % 30 BETWEEN 6 AND 27 THEN 0e0 ELSE score END AS score, r, g, b FROM face_scores""")
 
+# Scores of well lit faces: every pair of views shares hundreds of them.
+bind("lit_scores", """
+SELECT scene_id, fid, view_id, score / 2 + 3e-1 AS score, r / 2 + 64 AS r, g / 2 + 64 AS g, b / 2 + 64 AS b FROM face_scores""")
+
 # Which corners of which view carry depth support.
 bind("vertex_support", """
 SELECT v.scene_id, v.vid, p.view_id, p.r / 250e0 AS score, p.r, p.g, p.b
@@ -203,3 +207,8 @@ FROM orders""")
 # Two vector sets.
 bind("vectors", """
 SELECT lpad(CAST(vec_id AS STRING), 9, '0') AS vec_key, vec_id, label, embedding AS v FROM embeddings""")
+
+# Poses that the engine reports for the photos; a photo it never mapped has no value.
+bind("poses", """
+SELECT photo_id, photo_id % 50 AS sample_id, CASE WHEN photo_id % 6 <> 0 THEN orientation > 3 ELSE NULL END AS located FROM photos""")
+bind("sample_issues", "SELECT user_id % 60 AS sample_id, event_type AS issue, event_id AS seq FROM events")

@@ -305,11 +305,8 @@ def _(t):
     return L.order_artifacts(t.manifest_rows.select("path", "byte_count"))
 
 
-@query("j16_pose_coverage", """WITH poses AS (SELECT photo_id, photo_id % 50 AS sample_id, orientation > 3 AS located FROM photos WHERE photo_id % 6 <> 0),
-issues AS (SELECT sample_id, arg_max(issue, seq) AS sample_issue FROM (SELECT user_id % 60 AS sample_id, event_type AS issue, event_id AS seq FROM events WHERE user_id % 60 > 20) GROUP BY 1)
+@query("j16_pose_coverage", """WITH issues AS (SELECT sample_id, arg_max(issue, seq) AS sample_issue FROM sample_issues GROUP BY 1)
 SELECT p.photo_id, CASE WHEN q.located IS NULL THEN 'absent' WHEN q.located THEN 'located' ELSE 'unlocated' END AS status, i.sample_issue
 FROM photos p LEFT JOIN poses q ON p.photo_id = q.photo_id LEFT JOIN issues i ON q.sample_id = i.sample_id""")
 def _(t):
-    poses = t.photos.where(F.col("photo_id") % 6 != 0).select("photo_id", (F.col("photo_id") % 50).alias("sample_id"), (F.col("orientation") > 3).alias("located"))
-    issues = t.events.select((F.col("user_id") % 60).alias("sample_id"), F.col("event_type").alias("issue"), F.col("event_id").alias("seq")).where("sample_id > 20")
-    return L.pose_coverage(t.photos, poses, issues).select("photo_id", "status", "sample_issue")
+    return L.pose_coverage(t.photos, t.poses, t.sample_issues).select("photo_id", "status", "sample_issue")

@@ -107,12 +107,12 @@ def _(t):
     return X.vertex_color_view(t.vertex_support, t.vertices)
 
 
-PAIRS = f"""gd AS MATERIALIZED (SELECT scene_id, fid, scene_id*1000+fid AS key, view_id, greatest({linear('r')},1e-5) AS r, greatest({linear('g')},1e-5) AS g, greatest({linear('b')},1e-5) AS b FROM face_scores WHERE score > 0.15 AND least(r,g,b) > 15),
-pr AS (SELECT a.scene_id, a.view_id AS view_i, b.view_id AS view_j, count(*) AS faces, median(ln(b.r/a.r)) AS lr, median(ln(b.g/a.g)) AS lg, median(ln(b.b/a.b)) AS lb FROM gd a JOIN gd b ON a.key = b.key AND a.view_id < b.view_id GROUP BY 1,2,3 HAVING count(*) >= 20)"""
+PAIRS = f"""gd AS MATERIALIZED (SELECT scene_id, fid, scene_id*1000+fid AS key, view_id, greatest({linear('r')},1e-5) AS r, greatest({linear('g')},1e-5) AS g, greatest({linear('b')},1e-5) AS b FROM lit_scores WHERE score > 0.15 AND least(r,g,b) > 15),
+pr AS (SELECT a.scene_id, a.view_id AS view_i, b.view_id AS view_j, count(*) AS faces, median(ln(b.r/a.r)) AS lr, median(ln(b.g/a.g)) AS lg, median(ln(b.b/a.b)) AS lb FROM gd a JOIN gd b ON a.key = b.key AND a.view_id < b.view_id GROUP BY 1,2,3 HAVING count(*) >= 200)"""
 
 
 def _pairs(t):
-    return X.exposure_pairs(t.face_scores, 20)
+    return X.exposure_pairs(t.lit_scores)
 
 
 @query("g20_exposure_pairs", f"WITH {PAIRS} SELECT scene_id, view_i, view_j, faces, {r6('lr','log_r')}, {r6('lg','log_g')}, {r6('lb','log_b')} FROM pr")
@@ -235,10 +235,10 @@ def _(t):
     return X.face_area_coverage(X.best_view(t.face_scores), H.face_metrics(t.corners)).withColumn("area_fraction", rounded(F.col("area_fraction"), "area_fraction"))
 
 
-@query("g17_coverage_bounds", f"""WITH {TEXELS}, {TRI}, pf AS (SELECT scene_id*1000+fid AS key, count(*) AS n, count(*) FILTER (source_code > 0) AS p FROM texels WHERE fid % 13 <> 0 GROUP BY 1)
+@query("g17_coverage_bounds", f"""WITH {TEXELS}, {TRI}, pf AS (SELECT scene_id*1000+fid AS key, count(*) AS n, count(*) FILTER (source_code > 0) AS p FROM texels GROUP BY 1)
 SELECT scene_id, {r6('sum(len*coalesce(p/n::DOUBLE,0))/sum(len)','lower')}, {r6('sum(CASE WHEN n IS NULL THEN len ELSE 0 END)/sum(len)','unresolved_fraction')}, count(*) FILTER (n IS NULL) AS unresolved_faces, {r6('sum(len*coalesce(p/n::DOUBLE,0))/sum(len)+sum(CASE WHEN n IS NULL THEN len ELSE 0 END)/sum(len)','upper')} FROM tri LEFT JOIN pf ON scene_id*1000+fid = key GROUP BY 1""")
 def _(t):
-    out = X.coverage_bounds(_texels(t).where("fid % 13 <> 0"), H.face_metrics(t.corners))
+    out = X.coverage_bounds(_texels(t), H.face_metrics(t.corners))
     return out.withColumns({c: rounded(F.col(c), c) for c in ("lower", "upper", "unresolved_fraction")})
 
 
