@@ -1,5 +1,7 @@
 """Job events and samples: batch twins of the stream operators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import jobs as J
@@ -53,6 +55,34 @@ def _(t):
     return J.next_attempt(s).select("job_id", "attempt", "model_size", F.coalesce("next_size", F.lit(0)).alias("next_size"))
 
 
+ATTEMPTS = """fin AS (SELECT job_id, event, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS attempt, event = 'failed' AND coalesce(contains(message, 'memory budget'), false) AS resource FROM job_events WHERE event IN ('completed', 'failed', 'cancelled')),
+tries AS (SELECT f.job_id, f.attempt::INT AS attempt, CASE f.attempt WHEN 0 THEN 518 ELSE 392 END AS model_size, f.event AS outcome, CASE WHEN f.attempt = 0 AND f.resource THEN 392 ELSE 0 END AS next_size
+ FROM fin f JOIN fin p ON f.job_id = p.job_id AND p.attempt = 0 WHERE f.attempt = 0 OR (f.attempt = 1 AND p.resource))"""
+
+
+@query("e5_attempts", f"WITH {ATTEMPTS} SELECT * FROM tries")
+def _(t):
+    return J.attempts(t.job_events)
+
+
+@query("e5_stream_attempts", f"WITH {ATTEMPTS} SELECT * FROM tries")
+def _(t):
+    from ..streaming.events import attempt_stream, run_to_table
+    return run_to_table(attempt_stream(_live(t).job_events), "append")
+
+
+@query("e1_write_parsed", f"WITH {LINES} SELECT CASE WHEN event_id % 10 IN (3, 4) THEN 'diagnostic' ELSE 'event' END AS kind, coalesce(CASE WHEN event_id % 10 IN (3, 4) THEN value ELSE value->>'event' END, '') AS content, count(*) AS n FROM ln GROUP BY 1, 2")
+def _(t):
+    """The live parse into its two tables, read back."""
+    from ..session import checkpoint_folder
+    from ..streaming.events import write_parsed
+    root = f"{checkpoint_folder(t.spark)}/streams/{uuid.uuid4().hex}"
+    write_parsed(_lines(_live(t)), f"{root}/events", f"{root}/diagnostics", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    events = t.spark.read.parquet(f"{root}/events").select(F.lit("event").alias("kind"), F.col("event").alias("content"))
+    rest = t.spark.read.parquet(f"{root}/diagnostics").select(F.lit("diagnostic").alias("kind"), F.col("diagnostic").alias("content"))
+    return events.unionByName(rest).groupBy("kind", "content").agg(F.count("*").alias("n"))
+
+
 @query("g23_stage_stats", "SELECT job_id, stage, max(seconds) AS elapsed, max(rss_bytes) AS peak_rss, count(*) AS samples FROM job_samples GROUP BY 1, 2")
 def _(t):
     return J.stage_stats(t.job_samples)
@@ -104,7 +134,7 @@ def _(t):
 
 
 def _session_flags(e):
-    return e.select("job_id", (F.col("value") > 300).alias("cancelled"), F.coalesce(F.col("message").contains("memory"), F.lit(False)).alias("request_failed"),
+    return e.select("job_id", "ts", (F.col("value") > 300).alias("cancelled"), F.coalesce(F.col("message").contains("memory"), F.lit(False)).alias("request_failed"),
                     F.coalesce(F.col("stage") == "package", F.lit(False)).alias("has_model"), (F.col("event") == "completed").alias("processing_complete"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.content import resource_failure, stage_label
+from ..session import cut_lineage
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("protocolVersion", T.IntegerType()), T.StructField("jobID", T.StringType()), T.StructField("event", T.StringType()),
@@ -17,6 +18,8 @@ EVENT_SCHEMA = T.StructType([
 # Events that move the stage, and final statuses.
 STAGE_EVENTS = ("stage-started", "stage-reused", "progress")
 FINAL_EVENTS = ("completed", "failed", "cancelled")
+# Model sizes of the first attempt and of the only retry.
+MODEL_SIZES = (518, 392)
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
@@ -34,10 +37,12 @@ def parse_events(lines: DataFrame) -> DataFrame:
 def job_state(events: DataFrame) -> DataFrame:
     """Status and stage per job. The first final event fixes the status; the stage is that of the last stage event before it.
 
-    Both are pre-aggregated extremes, so a job with most events still reduces inside every task.
+    Both are pre-aggregated extremes. The events meet their job's end in a join, which adaptive execution splits where a
+    job has most events: the ends are a written table.
     """
     order = F.struct("ts", "event_id")
     end = events.groupBy("job_id").agg(F.min(F.when(F.col("event").isin(*FINAL_EVENTS), F.struct(order.alias("at"), "event", "message"))).alias("_end"))
+    end = cut_lineage(end)
     before = F.col("_end").isNull() | (order < F.col("_end.at"))
     moves = F.col("event").isin(*STAGE_EVENTS) & before
     return events.join(end, "job_id").groupBy("job_id").agg(
@@ -81,6 +86,27 @@ def next_attempt(states: DataFrame, first_size: int = 518, retry_size: int = 392
         .withColumn("next_size", F.when(again, retry_size))
 
 
+def resource_failed() -> Column:
+    """Whether an event row reports a failure for want of memory."""
+    return F.coalesce(resource_failure(F.col("event"), F.col("message"), F.col("message")), F.lit(False))
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """One row per attempt of a job: attempt, model size, outcome, and the size of the next attempt or 0.
+
+    A final event ends an attempt. A first attempt that failed for memory is tried once more at the smaller size; anything
+    later is ignored. Both outcomes are pre-aggregated minima, so a job with most events reduces inside every task.
+    """
+    ends = events.where(F.col("event").isin(*FINAL_EVENTS)).select("job_id", F.struct("ts", "event_id", "event", resource_failed().alias("resource")).alias("e"))
+    two = ends.groupBy("job_id").agg(F.min("e").alias("first"))
+    later = ends.join(two, "job_id").where(F.col("e") > F.col("first")).groupBy("job_id").agg(F.min("e").alias("second"))
+    both = two.join(later, "job_id", "left")
+    again = (F.col("first.event") == "failed") & F.col("first.resource")
+    rows = F.array(F.struct(F.lit(0).alias("attempt"), F.lit(MODEL_SIZES[0]).alias("model_size"), F.col("first.event").alias("outcome"), F.when(again, MODEL_SIZES[1]).otherwise(0).alias("next_size")),
+                   F.when(again & F.col("second").isNotNull(), F.struct(F.lit(1).alias("attempt"), F.lit(MODEL_SIZES[1]).alias("model_size"), F.col("second.event").alias("outcome"), F.lit(0).alias("next_size"))))
+    return both.select("job_id", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
 def changed_events(events: DataFrame, columns: tuple[str, ...], bucket: str = "hour") -> DataFrame:
     """Drop events whose value columns equal those of the job's previous event.
 

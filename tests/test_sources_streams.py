@@ -99,8 +99,8 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = {r.job_id: (r.status, r.stage) for r in E.run_to_table(E.job_state_stream(stream), "update").collect()}
     assert got == {r.job_id: (r.status, r.stage) for r in J.job_state(df).collect()}
-    flags = df.select("job_id", F.lit(False).alias("cancelled"), (F.col("event") == "failed").alias("request_failed"), F.lit(True).alias("has_model"), (F.col("event") == "completed").alias("processing_complete"))
-    live = stream.select("job_id", F.lit(False).alias("cancelled"), (F.col("event") == "failed").alias("request_failed"), F.lit(True).alias("has_model"), (F.col("event") == "completed").alias("processing_complete"))
+    flags = df.select("job_id", "ts", F.lit(False).alias("cancelled"), (F.col("event") == "failed").alias("request_failed"), F.lit(True).alias("has_model"), (F.col("event") == "completed").alias("processing_complete"))
+    live = stream.select("job_id", "ts", F.lit(False).alias("cancelled"), (F.col("event") == "failed").alias("request_failed"), F.lit(True).alias("has_model"), (F.col("event") == "completed").alias("processing_complete"))
     want = {r.job_id: r.outcome for r in J.session_state(flags).collect()}
     assert {r.job_id: r.outcome for r in E.run_to_table(E.session_state_stream(live), "update").collect()} == want
 
@@ -109,3 +109,36 @@ def test_diagnostics_are_rows_not_errors(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"protocolVersion": 1, "jobID": "j", "event": "progress", "completed": 1, "total": 2}\nTraceback: x\n{"protocolVersion": 7, "event": "e"}\n\n')
     events, diagnostics = readers.read_events(spark, str(tmp_path))
     assert events.count() == 1 and {r.diagnostic for r in diagnostics.collect()} == {"Traceback: x", '{"protocolVersion": 7, "event": "e"}'}
+
+
+def feed(spark, folder, batches):
+    """A stream that reads one file per micro-batch, in order."""
+    import os
+    import time
+
+    schema = "job_id string, event_id long, ts timestamp, event string, stage string, message string"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(j, i, __import__("datetime").datetime.fromisoformat(ts), e, s, m) for j, i, ts, e, s, m in rows], schema).coalesce(1).write.parquet(f"{folder}/part{n}")
+        for f in os.listdir(f"{folder}/part{n}"):
+            os.utime(f"{folder}/part{n}/{f}", (time.time() - 100 + n, time.time() - 100 + n))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder), spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def test_several_batches_and_expiry(spark, tmp_path):
+    memory = "Stage exceeded the task memory budget"
+    batches = [[("a", 1, "2024-01-01T00:00:01", "stage-started", "fusion", None), ("b", 2, "2024-01-01T00:00:02", "failed", None, memory), ("c", 3, "2024-01-01T00:00:03", "failed", None, "Invalid camera")],
+               [("a", 4, "2024-01-01T00:05:01", "progress", "atlas", None), ("b", 5, "2024-01-01T00:05:02", "failed", None, memory), ("c", 6, "2024-01-01T00:05:03", "completed", None, None)],
+               [("a", 7, "2024-01-01T00:06:01", "completed", None, None), ("b", 8, "2024-01-01T00:06:02", "completed", None, None), ("d", 9, "2024-01-01T00:06:03", "cancelled", None, memory)],
+               [("z", 10, "2024-01-02T00:00:00", "progress", "x", None)]]
+    stream, table = feed(spark, str(tmp_path / "in"), batches)
+    tries = sorted(map(tuple, E.run_to_table(E.attempt_stream(stream), "append").collect()))
+    assert tries == sorted(map(tuple, J.attempts(table).collect()))
+    assert tries == [("a", 0, 518, "completed", 0), ("b", 0, 518, "failed", 392), ("b", 1, 392, "failed", 0), ("c", 0, 518, "failed", 0), ("d", 0, 518, "cancelled", 0)]
+    state = E.job_state_stream(stream, "1 minute", 60)
+    got = {r.job_id: (r.status, r.stage) for r in E.latest(E.run_to_table(state, "update"), "job_id").collect()}
+    assert got == {r.job_id: (r.status, r.stage) for r in J.job_state(table).collect()}
+    # A day later every ended job has left the state: only the running one is there.
+    progress = []
+    query = state.writeStream.foreachBatch(lambda b, n: progress.append(b.count())).outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 2  # its value, and no timer of an ended job
