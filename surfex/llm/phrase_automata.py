@@ -47,10 +47,14 @@ class _Windows:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = [t.split() for t in utf8(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["fp"], pa.array([len(w) for w in words], pa.int64()),
-                                          pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], names=["doc_id", "fp", "n_words", "sha"])
+    for table in in_pieces(batches, 4096, 2 << 20):
+        counts, shas = [], []
+        for text in utf8(table["text"].combine_chunks()):
+            words = text.split()
+            counts.append(len(words))
+            shas.append(hashlib.sha256(b" ".join(words)).digest())
+        rows = table.select(["doc_id", "fp"]).append_column("n_words", pa.array(counts, pa.int64())).append_column("sha", pa.array(shas, pa.binary()))
+        yield from rows.to_batches()
 
 
 def _first(sorted_values: np.ndarray) -> np.ndarray:
@@ -111,8 +115,8 @@ def anchor_filter(recurring: DataFrame, bits: int = 27, slice_bits: int = 19) ->
 def _likely(window: int, phrase: int, sent, bits: int):
     """Texts that hold an anchor of the filter, with those anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, kept, lists = utf8(batch["text"]), [], []
+        for table in in_pieces(batches, 4096):
+            texts, kept, lists = utf8(table["text"].combine_chunks()), [], []
             for first, last, data, bounds in text_pieces(texts):
                 w = _Windows(data, bounds, window, phrase)
                 keep = _first(w.spot)
@@ -124,8 +128,8 @@ def _likely(window: int, phrase: int, sent, bits: int):
                 for i in np.unique(doc).tolist():
                     kept.append(first + i)
                     lists.append(np.unique(anchors[cuts[i]:cuts[i + 1]]))
-            rows = batch.select(["block", "doc", "fp", "text"]).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists, pa.list_(pa.int64()))], names=["block", "doc", "fp", "text", "anchors"])
+            rows = table.select(["block", "doc", "fp", "text"]).take(pa.array(kept, pa.int64()))
+            yield from rows.append_column("anchors", pa.array(lists, pa.list_(pa.int64()))).to_batches()
 
     return run
 
