@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import best_fit, differencing, exact_dedup, four_russians, license_rules, line_hash, partenum_join, phrase_automata, prefix_bpe, q_chunks, quality_trees, robust_rules, secret_scan
 
-#: Where the vocabulary files of public tokenizers lie.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -48,7 +45,7 @@ def _(table):
 
 
 @query("op6_prefix_bpe")
-def _(table, path=f"{TOKENIZERS}/word_bpe_49k.json"):
+def _(table, path=public_tokenizers.path("word_bpe_49k.json")):
     docs = table("documents").select("doc_id", "text")
     done = prefix_bpe.decode(prefix_bpe.encode(docs, path), path)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -2,14 +2,15 @@ import hashlib
 import random
 import unicodedata
 
+import public_tokenizers
 import pytest
 from helpers import documents
 from tokenizers import Tokenizer
 
 from surfex.llm.prefix_bpe import WordBpe, decode, encode
-from surfex.llm.queries import QUERIES, TOKENIZERS
+from surfex.llm.queries import QUERIES
 
-PATH = f"{TOKENIZERS}/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
