@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import fusion as U
-from ..operators import gather as G
 from ..operators import mesh as H
 from . import bindings  # noqa: F401
 from .geometry import INSIDE, MASK, bilinear_sql, rounded

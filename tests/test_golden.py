@@ -1,6 +1,5 @@
 """Golden values on hand-made tables."""
 
-import math
 
 import numpy as np
 import pytest
@@ -8,7 +7,6 @@ from pyspark.sql import functions as F
 
 from surfex.functions import content as C
 from surfex.functions import matrices as M
-from surfex.operators import gather as G
 from surfex.operators import intake as I
 from surfex.operators import mesh as H
 from surfex.operators import ranking as K
