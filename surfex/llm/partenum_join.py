@@ -9,10 +9,12 @@ A signature without features would be shared by chance, so none is made: there a
 with more parts of that kind than spare ones is dealt again, by another hash, until it has fewer. Two similar sets meet in
 the last dealing of the one that is dealt less often: it has a good part whose signatures all have features.
 
-Equal sets are one class. A bucket of classes is first compared with one leader; when links join a bucket's classes into
-one component the bucket is settled, else more leaders, eight times as many each round, meet the classes of other
-components, until every pair across components has been compared. So a group of near copies costs about one comparison
-per class, and no link that could join two components is lost.
+Equal sets are one class. The class that meets most others leads its buckets, and all buckets of one leader are one
+cluster, so a group of near copies meets once instead of once a signature. A cluster is cut into blocks of bounded size,
+each with the leader's set; a task compares all classes of a block in place, by products of 0/1 matrices, and returns only
+the edges that connect them. Where a cluster has several blocks and its classes are not yet one component, the pairs of
+blocks follow; two blocks that hold the same single component are left out. No pair of classes that share a signature is
+lost, no pair is a row, and a group of linked near copies costs about one comparison with its leader's block per class.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surfex.session import cut_lineage
+from surfex.session import cut_lineage, drop_cut
 
 from .common import components, in_pieces, long_array, mix, text_pieces, utf8, whole_text, word_hashes
 
@@ -38,8 +40,8 @@ _PARTS = 3  # second-level parts, of which one is left out
 
 @lru_cache
 def bands(percent: int, largest: int) -> tuple[tuple[int, int, int], ...]:
-    """(least size, largest size, most differences) of each band up to size ``largest``; a band spans as many steps of the bound as stay below 1.6."""
-    steps = max(1, int(math.log(1.6) / math.log(100 / percent)))
+    """(least size, largest size, most differences) of each band up to size ``largest``; a band spans as many steps of the bound as stay within 1.25."""
+    steps = max(1, int(math.log(1.25) / math.log(100 / percent) + 1e-9))
     out, low = [], 1
     while not out or out[-1][1] < largest:
         high = max(low, int(low * (100 / percent) ** steps))
@@ -114,7 +116,7 @@ def signatures(h: np.ndarray, cuts: np.ndarray, percent: int, dealings: int = 8)
 def _deal(h: np.ndarray, cuts: np.ndarray, chosen: np.ndarray, band: np.ndarray, k: np.ndarray, dealing: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One dealing of the ``chosen`` sets: set index and signature of those with features, and the sets to deal again."""
     sizes = np.diff(cuts)[chosen]
-    spare = 1 + (k // 2 + 1) // 8
+    spare = 1 + (k // 2 + 1) // 4
     parts = k // 2 + 1 + spare
     first_cell = np.concatenate(([0], np.cumsum(parts * _PARTS)))
     ends = np.cumsum(sizes)
@@ -191,15 +193,83 @@ def _scan(words: int, percent: int, what: str, block_rows: int, crowd: int):
     return run
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, compared in full."""
-    one = pairs.join(arrays.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = one.join(arrays.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct()
+_EDGES = "a long, b long"
 
 
-def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_rows: int = 20_000, crowd: int = 64) -> DataFrame:
+def connect(values: np.ndarray, cuts: np.ndarray, allowed: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect the sets between ``cuts`` as their links do, among the ``allowed`` pairs (a symmetric matrix)."""
+    sizes = np.diff(cuts)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, feature, count = np.unique(values, return_inverse=True, return_counts=True)
+    often = count > 1  # a feature of one set is in no intersection
+    row, feature = row[often[feature]], (np.cumsum(often) - 1)[feature[often[feature]]]
+    order = np.argsort(feature, kind="stable")
+    row, feature = row[order], feature[order]
+    shared = np.zeros((len(sizes), len(sizes)))
+    for low in range(0, int(often.sum()), 4096):
+        part = slice(*np.searchsorted(feature, (low, low + 4096)))
+        has = np.zeros((len(sizes), 4096), np.float32)
+        has[row[part], feature[part] - low] = 1
+        shared += has @ has.T
+    linked = allowed & (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared))
+    out, left = [], np.ones(len(sizes), bool)
+    for start in range(len(sizes)):
+        reach = [start] if left[start] else []
+        left[start] = False
+        while reach:
+            new = np.flatnonzero(linked[reach.pop()] & left)
+            left[new] = False
+            out += [(start, int(x)) for x in new]
+            reach += new.tolist()
+    return out
+
+
+def _edges(percent: int):
+    """Edges between the classes of one task: rows of different ``side`` only, where there are two, and of different ``root``."""
+    def run(table: pa.Table) -> pa.Table:
+        node, side, root = (table[c].to_numpy() for c in ("node", "side", "root"))
+        lists = table["shingles"].combine_chunks()
+        cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        values, cuts = values[cuts[0]:cuts[-1]], cuts - cuts[0]
+        allowed = root[:, None] != root[None, :]
+        if side.any():
+            allowed &= side[:, None] != side[None, :]
+        edges = np.array(connect(values, cuts, allowed, percent), np.int64).reshape(-1, 2)
+        return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
+
+    return run
+
+
+def _pieces(rows: str, features: str, block_classes: int, block_features: int):
+    """Number of blocks for so many classes with so many features."""
+    return F.greatest(F.ceil(F.col(rows) / block_classes), F.ceil(F.col(features) / block_features)).cast("long")
+
+
+def _later(members: DataFrame, roots: DataFrame, arrays: DataFrame, percent: int, block_classes: int, block_features: int) -> DataFrame:
+    """Edges between classes of one cluster (leader, node, n) that are not yet of one component, by pairs of blocks."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("leader")
+    placed = cut_lineage(placed.join(open_, "leader", "left_semi"))
+    counted = placed.groupBy("leader", "root").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    counted = counted.withColumn("own", _pieces("size", "weight", block_classes, block_features))
+    # A component that fills blocks of its own has them to itself; the smaller ones of a cluster share blocks.
+    shares = counted.filter("own = 1").groupBy("leader").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    shares = shares.select("leader", _pieces("size", "weight", block_classes, block_features).alias("shares"))
+    solo = F.when(F.col("own") > 1, F.col("root"))
+    block = F.when(F.col("own") > 1, F.xxhash64("root", F.pmod(F.xxhash64("node"), "own"))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("root"), "shares")))
+    placed = cut_lineage(placed.join(counted.select("leader", "root", "own"), ["leader", "root"]).join(shares, "leader", "left")
+                         .select("leader", "node", "root", solo.alias("solo"), block.alias("block")))
+    blocks = cut_lineage(placed.groupBy("leader", "block").agg(F.max("solo").alias("solo")))
+    one, two = (blocks.select("leader", F.col("block").alias(f"block{i}"), F.col("solo").alias(f"solo{i}")) for i in (1, 2))
+    tasks = cut_lineage(one.join(two, "leader").filter("block1 <= block2 AND coalesce(solo1 != solo2, true)").select("leader", "block1", "block2"))
+    left = placed.join(tasks.withColumn("block", F.col("block1")), ["leader", "block"]).withColumn("side", F.lit(0))
+    right = placed.join(tasks.filter("block1 < block2").withColumn("block", F.col("block2")), ["leader", "block"]).withColumn("side", F.lit(1))
+    both = left.unionByName(right).join(arrays, "node").select("leader", "block1", "block2", "node", "root", "side", "shingles")
+    return both.groupBy("leader", "block1", "block2").applyInArrow(_edges(percent), _EDGES)
+
+
+def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_rows: int = 20_000, crowd: int = 64,
+                   block_classes: int = 512, block_features: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, n_shingles, component_id, first.
 
     A set holds the distinct runs of ``words`` words, A-Z lower-cased; a shorter text has its whole sequence as one, a text
@@ -207,6 +277,7 @@ def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_row
     ``component_id`` is the smallest doc_id reachable; null ids are rows like any other and give way to known ones; equal
     rows are linked. ``first`` marks, in each component, one row that stands for it: one that holds component_id.
     ``block_rows``, and 8 MB of text, bound what a task holds at once; ``crowd`` is the size from which a block settles a bucket by itself.
+    ``block_classes`` and ``block_features`` bound, on average, the sets that one task compares.
     Shingles are compared by 64-bit hashes, classes by 96 bits.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("fp", F.xxhash64("text"))
@@ -222,42 +293,35 @@ def similar_groups(docs: DataFrame, words: int = 3, percent: int = 90, block_row
               .filter("least != most").select(F.coalesce("home", "bucket").alias("home"), "k1", "k2"))
     shared = cut_lineage(shared)
     buckets = cut_lineage(shared.join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("home", "node").distinct())
+    drop_cut(shared)
     # The class that meets most others leads its buckets: in a group of near copies, one close to them all.
     sizes = cut_lineage(buckets.groupBy("home").agg(F.count("*").alias("size")))
     degrees = cut_lineage(buckets.join(sizes, "home").groupBy("node").agg(F.sum("size").alias("degree")))
     leads = cut_lineage(buckets.join(degrees, "node").groupBy("home").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")))
+    star = cut_lineage(buckets.join(leads, "home").select("leader", "node").distinct().join(classes.select("node", "n"), "node"))
+    for spent in (sizes, degrees, leads, buckets):
+        drop_cut(spent)
 
-    involved = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", "first_id")
+    involved = classes.join(star.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", "first_id")
     wanted = involved.select("node", F.col("k1").alias("want1"), F.col("k2").alias("want2"), F.col("first_id").alias("wanted"))
     chosen = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node", "want1", "want2")
-    arrays = cut_lineage(scan("arrays", chosen, "node long, shingles array<bigint>"))  # repeated rows give a set twice, which does no harm
-
-    pairs = buckets.join(leads, "home").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).filter("a < b").distinct()
-    links = cut_lineage(_verified(pairs, arrays, percent))
+    arrays = cut_lineage(scan("arrays", chosen, "node long, shingles array<bigint>"))
+    if not arrays.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat id and text
+        arrays = cut_lineage(arrays.dropDuplicates(["node"]))
+
+    held = star.groupBy("leader").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    held = cut_lineage(held.select("leader", _pieces("size", "weight", block_classes, block_features).alias("blocks")))
+    own = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), "blocks")))
+    first = star.join(held, "leader").select("leader", "node", F.explode(own).alias("block"))
+    first = first.join(arrays, "node").select("leader", "block", "node", F.col("node").alias("root"), F.lit(0).alias("side"), "shingles")
+    links = cut_lineage(first.groupBy("leader", "block").applyInArrow(_edges(percent), _EDGES))
     roots = cut_lineage(components(links))
-    members = buckets
-    leaders_before, leaders_now = 0, 4
-    while True:
-        placed = members.join(roots, "node", "left").select("home", "node", F.coalesce("root", "node").alias("root"))
-        open_ = cut_lineage(placed.groupBy("home").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-                            .filter("low < high").select("home", "size"))
-        largest = open_.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        placed = cut_lineage(placed.join(open_, "home"))
-        order = F.pmod(F.xxhash64("node", "home"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        first = placed.filter((order * F.col("size") < leaders_now) & (order * F.col("size") >= leaders_before))
-        pairs = (first.select("home", F.col("node").alias("x"), F.col("root").alias("rx"))
-                 .join(placed.select("home", F.col("node").alias("y"), F.col("root").alias("ry")), "home").filter("rx != ry")
-                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        fresh = cut_lineage(_verified(pairs, arrays, percent))
+    # The leader has met all; classes in one block have met each other.
+    apart = cut_lineage(star.filter("node != leader").join(held.filter("blocks > 1"), "leader", "left_semi"))
+    if not apart.isEmpty():
+        fresh = cut_lineage(_later(apart, roots, arrays, percent, block_classes, block_features))
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = cut_lineage(components(links))
-        if leaders_now >= largest:
-            break
-        members = cut_lineage(placed.select("home", "node"))
-        leaders_before, leaders_now = leaders_now, leaders_now * 8
+            roots = cut_lineage(components(links.unionByName(fresh)))
 
     grouped = classes.join(roots, "node", "left").select("k1", "k2", "n", "first_id", F.coalesce("root", "node").alias("root"))
     grouped = cut_lineage(grouped)
@@ -281,7 +345,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, **options: int)
     dedup removes them.
     """
     gone = cut_lineage(similar_groups(docs, words, percent, **options).filter(~F.col("first") & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                       .select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct())
-    keyed = docs.withColumn("_fp", F.xxhash64(whole_text()))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_fp") == F.col("_gone_fp"))
-    return keyed.join(gone, same, "left_anti").drop("_fp")
+                       .select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct())
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("fp"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("fp") == F.col("gone_fp"))
+    return keyed.join(gone, same, "left_anti").select("row.*")

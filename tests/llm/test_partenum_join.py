@@ -4,9 +4,10 @@ import numpy as np
 from helpers import documents, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from surfex.llm.common import components
-from surfex.llm.partenum_join import bands, keep_one, shingle_sets, signatures, similar_groups
+from surfex.llm.partenum_join import bands, connect, keep_one, shingle_sets, signatures, similar_groups
 
 
 def shingles(text, n=3):
@@ -81,6 +82,8 @@ def test_groups_against_all_pairs(spark):
     got = similar_groups(docs, block_rows=10, crowd=3).collect()  # small blocks, so that crowds settle in several
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
     assert sum(r["first"] for r in got) == len({r.component_id for r in got})
+    blocks = similar_groups(docs, crowd=3, block_classes=6)  # small blocks of classes, so that pairs of blocks are needed
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in blocks.collect()) == groups(rows)
     kept = keep_one(docs)  # five words, 0.8
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in groups(rows, 5, 80)}) and kept.columns == docs.columns
 
@@ -91,6 +94,45 @@ def test_real_table_against_all_pairs(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_edges_connect_as_links_do():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 2**62, rng.integers(0, 5))])) for _ in range(40)]
+    sets += [rng.integers(0, 2**62, 5000), np.zeros(0, np.int64)]
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    allowed = rng.random((42, 42)) < 0.5
+    allowed &= allowed.T
+    np.fill_diagonal(allowed, False)
+
+    def joined(pairs):
+        root = list(range(42))
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return [root.index(r) for r in root]
+
+    links = [(a, b) for a in range(42) for b in range(a) if allowed[a, b] and len(sets[a]) and len(sets[b])
+             and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))]
+    got = connect(np.concatenate(sets), cuts, allowed, 85)
+    assert 0 < len(got) < len(links) and joined(got) == joined(links)
+
+
+def test_a_group_that_is_close_but_not_linked(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9999)}" for _ in range(80)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.05 else w for w in base) for _ in range(150)]
+    got = similar_groups(documents(spark, texts, 3), block_classes=16).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(list(enumerate(texts)))
+
+
+def test_columns_with_own_names(spark):
+    docs = documents(spark, copies(6, 12, 90) + [None])
+    for name in ("_gone_id", "gone_id", "gone_fp", "_fp", "fp", "id", "row", "node", "leader"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and kept.filter("fp != 'fp' OR id != 'id' OR gone_id != 'gone_id'").isEmpty() and 1 < kept.count() < 13
+
+
 def test_odd_rows(spark):
     rows = similar_groups(documents(spark, [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (4, "other words here now"), (None, None), (9, "")])).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in rows) == [(0, 0, 0), (0, 2, 4), (4, 2, 4), (4, 2, 4), (4, 2, 4), (9, 0, 9)]
