@@ -150,8 +150,8 @@ def drop_copies(docs: DataFrame, **options: int) -> DataFrame:
     report = find_copies(docs, **options)
     gone = cut_lineage(report.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp"),
                                                             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeated")))
-    keyed = docs.withColumn("_fp", F.xxhash64(whole_text()))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("_fp") == F.col("gone_fp"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("fp"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("fp") == F.col("gone_fp"))
     repeated = gone.filter("repeated").distinct()
     return (keyed.join(gone, same, "left_anti")
-            .unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_fp"])).drop("_fp"))
+            .unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["id", "fp"])).select("row.*"))

@@ -204,7 +204,7 @@ def as_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]", **options: float) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``, spans that overlap by one; n_chars follows where present."""
-    found = find_secrets(docs.drop("spans"), **options)
+    found = find_secrets(docs.select(F.struct("*").alias("row"), "text"), **options)
     text = F.col("text")
     piece = lambda a, b: F.substring(text, a + 1, b - a)
     done = F.aggregate(
@@ -212,8 +212,9 @@ def redact(docs: DataFrame, mark: str = "[secret]", **options: float) -> DataFra
         lambda s, x: F.struct(F.when(x["start"] >= s["at"], F.concat(s["out"], piece(s["at"], x["start"]), F.lit(mark))).otherwise(s["out"]).alias("out"),
                               F.greatest(s["at"], x["end"]).alias("at")),
         lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    out = found.withColumn("_cleared", F.when(F.size("spans") > 0, done).otherwise(text))
-    out = out.withColumn("text", F.col("_cleared"))
+    out = found.withColumn("cleared", F.when(F.size("spans") > 0, done).otherwise(text))
+    row = F.col("row").withField("text", F.col("cleared"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "spans"))
+        count = F.when(F.size("spans") > 0, F.length("cleared")).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", count.cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")

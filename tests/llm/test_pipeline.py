@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from helpers import words
+from helpers import documents, words
+from pyspark.sql import functions as F
+
+from surfex.llm import exact_dedup, secret_scan
 from surfex.llm.quality_trees import STATISTICS, fit, statistics
 from surfex.session import cut_lineage
 from test_best_fit import check
@@ -65,3 +68,16 @@ def test_clean_documents_stay(spark, kept):
     good = set(rows(frames[1]))
     held = [i for i in labels if zlib.crc32(str(i).encode()) % 3 == 1 and labels[i] == 1]
     assert np.mean([i in good for i in held]) > 0.9
+
+
+def test_stages_keep_columns_with_their_own_names(spark):
+    docs = documents(spark, ["one text", "one text", "other text", None, "api_key=abcdef0123456789 here", "api_key=abcdef0123456789 here"])
+    names = ("_text", "_base", "_tested", "_cleared", "cleared", "row", "spans", "gone_id", "_gone_id", "_fp", "fp", "id", "repeated")
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    kept = exact_dedup.drop_copies(docs)
+    cleared = secret_scan.redact(docs)
+    for out, ids in ((kept, [1, 2, 3, 5]), (cleared, [0, 1, 2, 3, 4, 5])):
+        assert out.columns == docs.columns and all(r[n] == n for r in out.collect() for n in names)
+        assert sorted(r.doc_id for r in out.collect()) == ids
+    assert [(r.text, r.n_chars) for r in cleared.filter("doc_id = 4").collect()] == [("[secret] here", 13)]
